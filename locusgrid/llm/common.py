@@ -68,7 +68,7 @@ def merge_chunks(df: DataFrame, size: int, how: str = "sum") -> np.ndarray:
     """df: (task long, chunk int, blob binary). Sums (or ors) blobs of a chunk, at most 64 in one group, level by level; the driver
     gets one array of `size` counters, whatever the data's size."""
 
-    def join(key, t: pa.Table) -> pa.Table:
+    def join(key, t):
         blobs = t.column("blob").to_pylist()
         acc = np.zeros(len(unpack(blobs[0])), np.uint64)
         for b in blobs:
@@ -261,3 +261,27 @@ def by_batch(f: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable[[
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def flagged(docs: DataFrame, column: str, bits) -> DataFrame:
+    """docs with `_maybe`: whether the row's key may be in the Bloom filter. Null keys are not."""
+    from pyspark.sql import types as T
+
+    at = docs.columns.index(column)
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        key = b.column(at).cast(pa.int64())
+        mark = in_bloom(bits.value, key.fill_null(0).to_numpy()) & ~key.is_null().to_numpy(zero_copy_only=False)
+        return pa.RecordBatch.from_arrays([*b.columns, pa.array(mark)], names=[*b.schema.names, "_maybe"])
+
+    return docs.mapInArrow(by_batch(run), T.StructType([*docs.schema.fields, T.StructField("_maybe", T.BooleanType())]))
+
+
+def without(docs: DataFrame, gone: DataFrame, column: str = "doc_id") -> DataFrame:
+    """docs less the rows whose id is in `gone` (one long column of that name). Only rows that a fixed-size Bloom filter cannot clear
+    are shuffled."""
+    gone = stage(gone, "gone")
+    bits = docs.sparkSession.sparkContext.broadcast(bloom(gone, column, 24))
+    marked = flagged(docs, column, bits)
+    rest = marked.where("_maybe").drop("_maybe").join(gone, column, "left_anti").select(*docs.columns)
+    return marked.where("NOT _maybe").drop("_maybe").unionByName(rest)
