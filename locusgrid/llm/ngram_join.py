@@ -126,25 +126,53 @@ def prefixes(docs: DataFrame, counts, n: int, percent: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "sig long, n long, blob binary")
 
 
-def entries(prefix: DataFrame, bits=None) -> DataFrame:
-    """(h, sig, n, pos) of each prefix n-gram, of those in a Bloom filter if one is given."""
+def ends(prefix: DataFrame) -> DataFrame:
+    """(h, sig): of each prefix n-gram the smallest and largest class in a batch, so that even a hot one makes two rows a batch at most."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch | None:
-        blobs = b.column("blob")
-        size = np.array([len(x.as_buffer()) // 8 for x in blobs], np.int64)
-        h = np.frombuffer(b"".join(x.as_py() for x in blobs), np.int64)
+        h, size = unpacked(b)
         if not len(h):
             return None
+        sig = np.repeat(b.column("sig").to_numpy(), size)
+        order = np.lexsort((sig, h))
+        h, sig = h[order], sig[order]
+        new = np.concatenate(([True], h[1:] != h[:-1]))
+        last = np.concatenate((new[1:], [True]))
+        keep = new | (last & np.concatenate(([False], sig[1:] != sig[:-1])))
+        return pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(sig[keep])], names=["h", "sig"])
+
+    return prefix.mapInArrow(C.by_batch(run), "h long, sig long")
+
+
+def unpacked(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """All n-grams of a batch of prefixes, and how many each has."""
+    blobs = [x.as_buffer() for x in b.column("blob")]
+    return np.frombuffer(b"".join(blobs), np.int64), np.array([len(x) // 8 for x in blobs], np.int64)
+
+
+def entries(prefix: DataFrame, bits) -> DataFrame:
+    """(h, sig, n, pos) of the prefix n-grams that may be shared, by a Bloom filter."""
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch | None:
+        h, size = unpacked(b)
+        if not len(h):
+            return None
+        keep = C.in_bloom(bits.value, h)
         pos = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
         cols = [h, np.repeat(b.column("sig").to_numpy(), size), np.repeat(b.column("n").to_numpy(), size).astype(np.int32), pos.astype(np.int32)]
-        if bits is not None:
-            keep = C.in_bloom(bits.value, h)
-            cols = [c[keep] for c in cols]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["h", "sig", "n", "pos"])
+        return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols], names=["h", "sig", "n", "pos"])
 
     return prefix.mapInArrow(C.by_batch(run), "h long, sig long, n int, pos int")
 
 
+def possible(n1, p1, n2, p2, percent: int):
+    """Whether two sets with a common n-gram at these places can be similar enough, by length and position. If they are, their first
+    common n-gram passes: at least `want` n-grams are common, so it has `want` - 1 or more others after it in both sets."""
+    want = F.floor(((n1 + n2) * percent + 99 + percent) / (100 + percent))
+    length = (n1 * 100 >= n2 * percent) & (n2 * 100 >= n1 * percent)
+    return length & (p1 <= n1 - want) & (p2 <= n2 - want)
+
+
 def sets(docs: DataFrame, wanted, n: int) -> DataFrame:
     """(sig, blob) of the documents whose id may be wanted: the sorted set as 64-bit values."""
 
@@ -178,8 +206,13 @@ def suffix_bound(x: np.ndarray, y: np.ndarray) -> int:
     return min(k, m) + min(len(x) - k, len(y) - m)
 
 
-def verify(pairs: DataFrame, store: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough; each pair is compared once."""
+def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose sets are similar enough, as a table. Each pair is compared once, with sets of just its texts."""
+    pairs = C.stage(pairs, "ngram-pairs")
+    named = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(classes, "sig")
+    wanted = docs.sparkSession.sparkContext.broadcast(C.bloom(named, "rep", 24))
+    store = C.stage(sets(docs, wanted, n), "ngram-sets")
+    wanted.unpersist()
     left = pairs.join(store.select(F.col("sig").alias("a"), F.col("blob").alias("x")), "a")
     both = left.join(store.select(F.col("sig").alias("b"), F.col("blob").alias("y")), "b").select("a", "b", "x", "y")
 
@@ -191,7 +224,9 @@ def verify(pairs: DataFrame, store: DataFrame, percent: int) -> DataFrame:
             good.append(min(len(x), len(y)) >= want and suffix_bound(x, y) >= want and overlap(x, y) >= want)
         return t.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    return both.mapInArrow(C.by_batch(run), "a long, b long")
+    out = C.stage(both.mapInArrow(C.by_batch(run), "a long, b long"), "ngram-links")
+    C.unstage(pairs, store)
+    return out
 
 
 def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -201,50 +236,40 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     one = C.stage(first_pass(docs, n), "ngram-first")
     rows = one.where("kind = 0").select("doc_id", "n", "sig")
     counts = spark.sparkContext.broadcast(C.merge_chunks(one.where("kind = 1").select("task", "chunk", "blob"), SKETCH).astype(np.uint32))
+    classes = C.stage(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep")), "ngram-classes")
     prefix = C.stage(prefixes(docs, counts, n, percent), "ngram-prefix")
     counts.unpersist()
 
-    shared = entries(prefix).groupBy("h").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo <> hi")
-    shared = C.stage(shared, "ngram-shared")
+    shared = ends(prefix).repartition("h").groupBy("h").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo <> hi")
     bits = spark.sparkContext.broadcast(C.bloom(shared, "h", 25))
-    held = C.stage(entries(prefix, bits).join(shared, "h"), "ngram-held")
+    held = C.stage(entries(prefix, bits), "ngram-held")
     bits.unpersist()
-    C.unstage(prefix, shared)
-
-    classes = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep"))
-    classes = C.stage(classes, "ngram-classes")
-    wanted = C.stage(classes.join(held.select("sig").distinct(), "sig", "left_semi"), "ngram-wanted")
-    some = spark.sparkContext.broadcast(C.bloom(wanted, "rep", 24))
-    store = C.stage(sets(docs, some, n).join(wanted.select("sig"), "sig", "left_semi").groupBy("sig").agg(F.first("blob").alias("blob")), "ngram-sets")
-    some.unpersist()
-
-    star = held.select(F.explode(F.array(F.struct("sig", F.col("lo").alias("to")), F.struct("sig", F.col("hi").alias("to")))).alias("x")).select("x.*").where("sig <> to")
-    star = star.select(F.least("sig", "to").alias("a"), F.greatest("sig", "to").alias("b")).distinct()
-    links = C.stage(verify(star, store, percent), "ngram-star")
+    C.unstage(prefix)
+
+    me = F.struct("sig", "n", "pos")
+    extremes = held.groupBy("h").agg(F.min(me).alias("lo"), F.max(me).alias("hi")).where("lo.sig <> hi.sig")
+    star = held.join(extremes, "h").select("sig", "n", "pos", F.explode(F.array("lo", "hi")).alias("to")).where(F.col("sig") != F.col("to.sig"))
+    star = star.where(possible(F.col("n"), F.col("pos"), F.col("to.n"), F.col("to.pos"), percent))
+    links = verify(star.select(F.least("sig", "to.sig").alias("a"), F.greatest("sig", "to.sig").alias("b")).distinct(), docs, classes, n, percent)
     comp = C.components(links)
 
     # buckets that still hold two components: members outside the bucket's largest one meet all members of others
-    named = held.select("h", "sig", "n", "pos").join(comp.withColumnRenamed("node", "sig"), "sig", "left").withColumn("c", F.coalesce("component", "sig")).drop("component")
+    named = held.distinct().join(comp.withColumnRenamed("node", "sig"), "sig", "left").withColumn("c", F.coalesce("component", "sig")).drop("component")
     named = C.stage(named, "ngram-named")
     split = named.groupBy("h", "c").agg(F.count("*").alias("k")).groupBy("h").agg(F.max_by("c", F.struct("k", "c")).alias("major"), F.count("*").alias("parts")).where("parts > 1").select("h", "major")
     open_ = C.stage(named.join(split, "h"), "ngram-open")
     C.unstage(named, held)
-    l, r = open_.alias("l"), open_.drop("major").alias("r")
-    na, nb = F.col("l.n"), F.col("r.n")
-    least = ((na + nb) * percent + 99 + percent) / (100 + percent)
-    at = F.least("l.pos", "r.pos") + 1 + F.least(na - F.col("l.pos"), nb - F.col("r.pos")) - 1
-    on = (F.col("l.h") == F.col("r.h")) & (F.col("l.c") != F.col("l.major")) & (F.col("l.c") != F.col("r.c"))
-    on &= (na * 100 >= nb * percent) & (nb * 100 >= na * percent) & (at >= F.floor(least))
+    l, r = open_.where("c <> major").alias("l"), open_.drop("major").alias("r")
+    on = (F.col("l.h") == F.col("r.h")) & (F.col("l.c") != F.col("r.c")) & possible(F.col("l.n"), F.col("l.pos"), F.col("r.n"), F.col("r.pos"), percent)
     cross = l.join(r, on).select(F.least("l.sig", "r.sig").alias("a"), F.greatest("l.sig", "r.sig").alias("b")).distinct()
-    more = C.stage(verify(cross, store, percent), "ngram-cross")
-    C.unstage(open_, store)
+    more = verify(cross, docs, classes, n, percent)
+    C.unstage(open_)
 
-    rep = classes.select("sig", "rep")
     edges = links.unionByName(more)
-    edges = edges.join(rep.select(F.col("sig").alias("a"), F.col("rep").alias("u")), "a").join(rep.select(F.col("sig").alias("b"), F.col("rep").alias("v")), "b").select(F.col("u").alias("a"), F.col("v").alias("b"))
+    edges = edges.join(classes.select(F.col("sig").alias("a"), F.col("rep").alias("u")), "a").join(classes.select(F.col("sig").alias("b"), F.col("rep").alias("v")), "b").select(F.col("u").alias("a"), F.col("v").alias("b"))
     final = C.components(edges)
-    C.unstage(links, more, wanted)
-    named = rep.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("sig", F.coalesce("component", "rep").alias("component_id"))
+    C.unstage(links, more)
+    named = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("sig", F.coalesce("component", "rep").alias("component_id"))
     out = rows.join(named, "sig", "left")
     own = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.cast("long").alias("component_id"))
