@@ -7,7 +7,8 @@ Documents with equal n-gram sets are one class, named by a fingerprint of the se
    keeps the prefix that any partner must share an n-gram with.
 3. A prefix n-gram held by two classes or more is a bucket. Each class is first compared with its bucket's smallest and largest class,
    which is linear in the bucket; the components of these links follow.
-4. Then every pair of a bucket that lies in different components and passes the filters is compared, once. A bucket that is one
+4. Then every pair of a bucket that lies in different components and passes the filters (length, position, and the suffix filter's bound
+   from parity bits of the whole sets) is compared, once. A bucket that is one
    component needs nothing more, so a large group of near copies never makes all its pairs, and no link between components is lost.
 
 Sets of the compared classes come from a third pass over just those texts. n-grams are 64-bit hashes throughout.
@@ -100,8 +101,25 @@ def first_pass(docs: DataFrame, n: int) -> DataFrame:
 NAMES = ["kind", "doc_id", "n", "sig", "task", "chunk", "blob"]
 
 
+MAPS = ["m0", "m1", "m2", "m3"]
+
+
+def parity(values: np.ndarray) -> np.ndarray:
+    """256 bits as four longs: whether a set has an odd number of members for each value of eight hash bits."""
+    odd = np.bincount((values >> np.uint64(24)).astype(np.int64) & 255, minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def near(a: str, b: str, percent: int):
+    """The suffix filter: every bit that differs is a member that only one of the two sets has, and no more than n1 + n2 - 2 want may be."""
+    want = F.floor(((F.col(f"{a}n") + F.col(f"{b}n")) * percent + 99 + percent) / (100 + percent))
+    apart = sum((F.bit_count(F.col(a + m).bitwiseXOR(F.col(b + m))) for m in MAPS), F.lit(0))
+    return apart <= F.col(f"{a}n") + F.col(f"{b}n") - 2 * want
+
+
 def prefixes(docs: DataFrame, counts, n: int, percent: int) -> DataFrame:
-    """(sig, n, blob): the prefix n-grams of each class, rare first; a class that a task meets again is left out there."""
+    """(sig, n, blob, m0..m3): the prefix n-grams of each class, rare first, and the parity bits of its whole set; a class that a task
+    meets again is left out there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen = counts.value, set()
@@ -111,6 +129,7 @@ def prefixes(docs: DataFrame, counts, n: int, percent: int) -> DataFrame:
                 sig = fingerprint(values, so)
                 freq = table[(values & np.uint64(SKETCH - 1)).astype(np.int64)]
                 rows: list[tuple[int, int, bytes]] = []
+                maps: list[np.ndarray] = []
                 for i, s in enumerate(sig.tolist()):
                     size = int(so[i + 1] - so[i])
                     if not size or s in seen:
@@ -118,12 +137,14 @@ def prefixes(docs: DataFrame, counts, n: int, percent: int) -> DataFrame:
                     seen.add(s)
                     v = values[so[i] : so[i + 1]]
                     order = np.argsort(freq[so[i] : so[i + 1]], kind="stable")  # values are sorted: ties by hash
+                    maps.append(parity(v))
                     rows.append((s, size, v[order[: size - needed(size, percent) + 1]].tobytes()))
                 if rows:
                     s, z, p = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(z, pa.int64()), pa.array(p, pa.binary())], names=["sig", "n", "blob"])
+                    bits = np.stack(maps)
+                    yield pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(z, pa.int64()), pa.array(p, pa.binary()), *[pa.array(bits[:, k]) for k in range(4)]], names=["sig", "n", "blob", *MAPS])
 
-    return docs.select("text").mapInArrow(run, "sig long, n long, blob binary")
+    return docs.select("text").mapInArrow(run, "sig long, n long, blob binary, m0 long, m1 long, m2 long, m3 long")
 
 
 def ends(prefix: DataFrame) -> DataFrame:
@@ -244,23 +265,27 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     bits = spark.sparkContext.broadcast(C.bloom(shared, "h", 25))
     held = C.stage(entries(prefix, bits), "ngram-held")
     bits.unpersist()
+    shape = C.stage(prefix.select("sig", "n", *MAPS).dropDuplicates(["sig"]), "ngram-shape")
     C.unstage(prefix)
 
     me = F.struct("sig", "n", "pos")
     extremes = held.groupBy("h").agg(F.min(me).alias("lo"), F.max(me).alias("hi")).where("lo.sig <> hi.sig")
     star = held.join(extremes, "h").select("sig", "n", "pos", F.explode(F.array("lo", "hi")).alias("to")).where(F.col("sig") != F.col("to.sig"))
     star = star.where(possible(F.col("n"), F.col("pos"), F.col("to.n"), F.col("to.pos"), percent))
-    links = verify(star.select(F.least("sig", "to.sig").alias("a"), F.greatest("sig", "to.sig").alias("b")).distinct(), docs, classes, n, percent)
+    star = star.select(F.least("sig", "to.sig").alias("a"), F.greatest("sig", "to.sig").alias("b")).distinct()
+    sided = lambda k: shape.select([F.col(c).alias(k if c == "sig" else f"{k}_{c}") for c in shape.columns])
+    star = star.join(sided("a"), "a").join(sided("b"), "b").where(near("a_", "b_", percent)).select("a", "b")
+    links = verify(star, docs, classes, n, percent)
     comp = C.components(links)
 
     # buckets that still hold two components: members outside the bucket's largest one meet all members of others
     named = held.distinct().join(comp.withColumnRenamed("node", "sig"), "sig", "left").withColumn("c", F.coalesce("component", "sig")).drop("component")
     named = C.stage(named, "ngram-named")
     split = named.groupBy("h", "c").agg(F.count("*").alias("k")).groupBy("h").agg(F.max_by("c", F.struct("k", "c")).alias("major"), F.count("*").alias("parts")).where("parts > 1").select("h", "major")
-    open_ = C.stage(named.join(split, "h"), "ngram-open")
+    open_ = C.stage(named.join(split, "h").join(shape.drop("n"), "sig"), "ngram-open")
     C.unstage(named, held)
     l, r = open_.where("c <> major").alias("l"), open_.drop("major").alias("r")
-    on = (F.col("l.h") == F.col("r.h")) & (F.col("l.c") != F.col("r.c")) & possible(F.col("l.n"), F.col("l.pos"), F.col("r.n"), F.col("r.pos"), percent)
+    on = (F.col("l.h") == F.col("r.h")) & (F.col("l.c") != F.col("r.c")) & possible(F.col("l.n"), F.col("l.pos"), F.col("r.n"), F.col("r.pos"), percent) & near("l.", "r.", percent)
     cross = l.join(r, on).select(F.least("l.sig", "r.sig").alias("a"), F.greatest("l.sig", "r.sig").alias("b")).distinct()
     more = verify(cross, docs, classes, n, percent)
     C.unstage(open_)
