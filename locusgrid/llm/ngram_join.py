@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from locusgrid.llm import common as C
 
+HEADS = 24  # first open n-grams of a class by which repeated pairs are told
 SKETCH = 1 << 20  # counters in the sketch of n-gram counts, whatever the corpus
 
 
@@ -282,10 +283,17 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     named = held.distinct().join(comp.withColumnRenamed("node", "sig"), "sig", "left").withColumn("c", F.coalesce("component", "sig")).drop("component")
     named = C.stage(named, "ngram-named")
     split = named.groupBy("h", "c").agg(F.count("*").alias("k")).groupBy("h").agg(F.max_by("c", F.struct("k", "c")).alias("major"), F.count("*").alias("parts")).where("parts > 1").select("h", "major")
-    open_ = C.stage(named.join(split, "h").join(shape.drop("n"), "sig"), "ngram-open")
+    # a pair is made at its first common n-gram: each row has the earlier ones among its class's first HEADS, and a pair whose lists meet
+    # was made before. Pairs that first meet beyond them may come more than once and are made distinct below
+    still = C.stage(named.join(split, "h"), "ngram-still")
+    heads = still.groupBy("sig").agg(F.slice(F.array_sort(F.collect_set(F.struct("pos", "h"))), 1, HEADS).alias("heads"))
+    before = F.transform(F.filter("heads", lambda x: x["pos"] < F.col("pos")), lambda x: x["h"])
+    open_ = C.stage(still.join(heads, "sig").withColumn("before", before).drop("heads").join(shape.drop("n"), "sig"), "ngram-open")
+    C.unstage(still)
     C.unstage(named, held)
     l, r = open_.where("c <> major").alias("l"), open_.drop("major").alias("r")
     on = (F.col("l.h") == F.col("r.h")) & (F.col("l.c") != F.col("r.c")) & possible(F.col("l.n"), F.col("l.pos"), F.col("r.n"), F.col("r.pos"), percent) & near("l.", "r.", percent)
+    on &= ((F.col("r.c") == F.col("l.major")) | (F.col("l.sig") < F.col("r.sig"))) & ~F.arrays_overlap("l.before", "r.before")
     cross = l.join(r, on).select(F.least("l.sig", "r.sig").alias("a"), F.greatest("l.sig", "r.sig").alias("b")).distinct()
     more = verify(cross, docs, classes, n, percent)
     C.unstage(open_)
