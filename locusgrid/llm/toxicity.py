@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from locusgrid.llm import common as C
 
 SAMPLE = 20_000  # labelled documents that the fit may use
+BUCKETS = 1 << 20  # counters by which features are told apart before they go to the driver
 STEMS = (4, 5, 6, 7, 8)  # bytes
 SPLIT = C.separators((0, 47), (58, 64), (91, 96), (123, 127))
 
@@ -147,7 +148,6 @@ def fit(x_doc: np.ndarray, x_word: np.ndarray, grades: np.ndarray, n_grades: int
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
     """The model of a bounded sample: at most `sample` labelled documents, their word hashes and grades come to the driver."""
-    spark = docs.sparkSession
     toxic = F.coalesce(F.col("toxic"), F.lit(0)) > 0
     grade = F.when(toxic & (F.coalesce(F.col("quality"), F.lit(1)) == 0), 2).when(toxic, 1).otherwise(0)
     some = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(grade).alias("grade"))
@@ -168,16 +168,41 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
 
     rows = text.select("doc_id", "grade", "text").mapInArrow(flat, "grade int, words binary")
     kept = C.stage(rows, "tox-words")
-    # words of too few sampled documents cannot be features; they are counted out before anything goes to the driver
-    got = kept.collect()
+    # counts by feature bucket, of fixed size, tell which features can pass; only those come to the driver
+    sums = C.merge_chunks(C.stage(kept.mapInArrow(bucket_counts, "task long, chunk int, blob binary"), "tox-counts"), 2 * BUCKETS).astype(np.float64)
+    seen, hit = sums[:BUCKETS], sums[BUCKETS:]
+    rate = docs.sparkSession.sparkContext.broadcast((hit >= 5) & (hit >= 0.6 * seen))
+
+    def thin(b: pa.RecordBatch) -> pa.RecordBatch:
+        blobs = []
+        for x in b.column("words"):
+            w = np.frombuffer(x.as_buffer(), np.uint64)
+            blobs.append(w[rate.value[(w & np.uint64(BUCKETS - 1)).astype(np.int64)]].tobytes())
+        return pa.RecordBatch.from_arrays([b.column("grade"), pa.array(blobs, pa.binary())], names=["grade", "words"])
+
+    got = kept.mapInArrow(C.by_batch(thin), "grade int, words binary").collect()  # `sample` rows at most
     C.unstage(some, kept)
     if not got:
         return Ordinal()
-    sets = [np.frombuffer(bytes(r[1]), np.uint64) for r in got]
-    order = sorted(range(len(got)), key=lambda i: bytes(got[i][1]))  # the same model however the rows arrive
-    doc = np.repeat(np.arange(len(sets)), [len(sets[i]) for i in order])
-    del spark
-    return fit(doc, np.concatenate([sets[i] for i in order]), np.array([got[i][0] for i in order]))
+    got = sorted((bytes(r[1]), r[0]) for r in got)  # the same model however the rows arrive
+    sets = [np.frombuffer(w, np.uint64) for w, _ in got]
+    return fit(np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate(sets), np.array([g for _, g in got]))
+
+
+def bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many sampled documents, and how many toxic ones, have a feature of each bucket."""
+    from pyspark import TaskContext
+
+    n = np.zeros(2 * BUCKETS, np.int64)
+    for b in batches:
+        for grade, x in zip(b.column("grade").to_pylist(), b.column("words"), strict=True):
+            at = (np.frombuffer(x.as_buffer(), np.uint64) & np.uint64(BUCKETS - 1)).astype(np.int64)
+            n[at] += 1
+            if grade > 0:
+                n[at + BUCKETS] += 1
+    rows = C.chunk_rows(n)
+    me = TaskContext.get().partitionId()
+    yield pa.RecordBatch.from_arrays([pa.array([me] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["task", "chunk", "blob"])
 
 
 def scores(model: Ordinal, col: pa.Array) -> np.ndarray:
