@@ -19,8 +19,12 @@ rows are pieces of their own; an empty table gives an empty result; other column
 from __future__ import annotations
 
 import bisect
+import json
+import string
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +34,8 @@ from pyspark.sql import functions as F
 from locusgrid.llm import common as C
 
 LIMIT = 4096
+PUNCTUATION = string.punctuation
+MARK = "\uf8ff\x00\uf8ff"  # stands after each text as a word of its own; texts that hold it are encoded one by one
 CACHE = 300_000  # white-space words whose ids a task keeps
 
 
@@ -39,55 +45,107 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def lowered(text: str) -> str:
+    """The text as the tokenizer's own lower-casing leaves it, where that is certain, so that fewer different words are met."""
+    if "<|" in text or "\u03a3" in text:  # special tokens are told by case; the final sigma depends on its place
+        return text
+    low = text.lower()
+    return low if text.isascii() or (is_normalized("NFC", text) and is_normalized("NFC", low)) else text
+
+
 class WordIds:
     """ids of texts by white-space words: tokens of this vocabulary never cross white space, so the words' ids in a row are the text's."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        import os
 
-        self.tok = Tokenizer.from_file(path)
-        self.clear()
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one task, one core
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
-    def clear(self) -> None:
+        self.tok = Tokenizer.from_file(path)
+        vocab = self.tok.get_vocab(with_added_tokens=True)
+        self.last = np.zeros(max(vocab.values()) + 1, bool)
+        self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        # a lean form for words that are lower-cased, composed letters already: the same model without the normaliser
+        model = json.loads(self.tok.to_str())["model"]
+        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        self.lean = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges, end_of_word_suffix=model["end_of_word_suffix"], cache_capacity=0))
+        self.lean.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.at: dict[str, int] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.used = 0
-        self.start: list[int] = []
-        self.size: list[int] = []
+        self.flat, self.start, self.size, self.count = (np.zeros(0, t) for t in (np.uint32, np.int64, np.int64, np.int64))
+        self.add([MARK], np.ones(1, np.int64), np.ones(1, np.int64))  # the end id
+
+    def keep(self, index: np.ndarray) -> None:
+        """Forgets all other words."""
+        place = np.full(len(self.start), -1)
+        place[index] = np.arange(len(index))
+        self.at = {w: p for w, i in self.at.items() if (p := int(place[i])) >= 0}
+        size = self.size[index]
+        start = np.cumsum(size) - size
+        self.flat = self.flat[np.repeat(self.start[index] - start, size) + np.arange(int(size.sum()))]
+        self.start, self.size, self.count = start, size, self.count[index]
+
+    def add(self, words: list[str], ids: np.ndarray, size: np.ndarray) -> None:
+        self.at.update(zip(words, range(len(self.start), len(self.start) + len(words)), strict=True))
+        self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(size) - size))
+        self.flat, self.size = np.concatenate((self.flat, ids.astype(np.uint32))), np.concatenate((self.size, size))
+        self.count = np.concatenate((self.count, np.zeros(len(words), np.int64)))
 
     def learn(self, words: list[str]) -> None:
-        for w, e in zip(words, self.tok.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            ids = e.ids
-            if self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate((self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)))
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.at[w] = len(self.start)
-            self.start.append(self.used)
-            self.size.append(len(ids))
-            self.used += len(ids)
+        """Lower-case words, and runs of ASCII punctuation, are one run of tokens each, of which just the last is an end-of-run token; they
+        are encoded many at a time. A word with punctuation after it is made of the two. Others go one by one."""
+        plain: dict[str, None] = {}
+        odd, pairs = [], []
+        for w in words:
+            base = w.rstrip(PUNCTUATION)
+            if base and not (base.isalpha() and base.islower() and (base.isascii() or is_normalized("NFC", base))) or MARK in w or "<|" in w:
+                odd.append(w)
+            elif base and base is not w:
+                pairs.append((w, base, w[len(base) :]))
+            else:
+                plain[w] = None
+        for _, base, tail in pairs:
+            for x in (base, tail):
+                if x not in self.at:
+                    plain[x] = None
+        if plain:
+            new = list(plain)
+            text = ["\n".join(new[i : i + 512]) for i in range(0, len(new), 512)]
+            ids = np.concatenate([np.array(e.ids, np.int64) for e in self.lean.encode_batch_fast(text, add_special_tokens=False)])
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(new):
+                self.add(new, ids, np.diff(ends, prepend=0))
+            else:
+                odd += new
+        if odd:
+            found = [e.ids for e in self.tok.encode_batch_fast(odd, add_special_tokens=False)]
+            self.add(odd, np.array([i for x in found for i in x], np.int64), np.array([len(x) for x in found], np.int64))
+        if pairs:
+            parts = np.array([(self.at[b], self.at[t]) for _, b, t in pairs]).ravel()
+            size = self.size[parts]
+            ids = self.flat[np.repeat(self.start[parts] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+            self.add([w for w, _, _ in pairs], ids, size.reshape(-1, 2).sum(1))
 
     def batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, offsets) of texts, each followed by the end id 1."""
-        if len(self.at) > CACHE:
-            self.clear()
-        lists = [x.split() for x in texts]
-        unseen = {w for ws in lists for w in ws}.difference(self.at)
-        self.learn(list(unseen))
-        get = self.at.__getitem__
-        counts = np.fromiter(map(len, lists), np.int64, len(lists))
-        words = np.fromiter((i for ws in lists for i in map(get, ws)), np.int64, int(counts.sum()))
-        start, size = np.array(self.start, np.int64)[words], np.array(self.size, np.int64)[words]
-        # a virtual word of one id after each text
-        ends = np.cumsum(counts)
-        size = np.insert(size, ends, 1)
-        start = np.insert(start, ends, -1)
+        if len(self.at) > CACHE:  # words met once or twice go first
+            self.count[self.at[MARK]] += 1 << 40
+            often = np.flatnonzero(self.count > 2)
+            self.keep(often if len(often) < CACHE * 3 // 4 else often[np.argsort(-self.count[often])[: CACHE // 2]])
+        if any(MARK in x for x in texts):
+            found = [np.array([*self.tok.encode(x, add_special_tokens=False).ids, 1], np.uint32) for x in texts]
+            return np.concatenate(found), np.concatenate(([0], np.cumsum([len(x) for x in found])))
+        words = "".join(f"{lowered(x)} {MARK} " for x in texts).split()
+        index = np.fromiter(map(self.at.get, words, repeat(-1)), np.int64, len(words))
+        if len(unseen := np.flatnonzero(index < 0)):
+            new = [words[i] for i in unseen.tolist()]
+            self.learn(list(dict.fromkeys(new)))
+            index[unseen] = np.fromiter(map(self.at.__getitem__, new), np.int64, len(new))
+        self.count += np.bincount(index, minlength=len(self.count))
+        size = self.size[index]
         total = np.concatenate(([0], np.cumsum(size)))
-        src = np.repeat(start - total[:-1], size) + np.arange(total[-1])
-        marks = total[ends + np.arange(len(lists))]  # where each end id stands
-        src[marks] = 0
-        ids = self.flat[src]
-        ids[marks] = 1
-        return ids, np.concatenate(([0], marks + 1))
+        ids = self.flat[np.repeat(self.start[index] - total[:-1], size) + np.arange(total[-1])]
+        return ids, np.concatenate(([0], total[1:][index == self.at[MARK]]))
 
 
 def tokenise(docs: DataFrame, path: str, limit: int = LIMIT, with_ids: bool = False) -> DataFrame:
