@@ -5,6 +5,7 @@ Lineage is cut by tables written under `spark.checkpoint.dir`, so a lost executo
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -164,7 +165,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
 
 # ---- text hashing over Arrow buffers ----
 
-SLICE = 1 << 21  # bytes of text handled at once
+SLICE = 1 << 19  # bytes of text handled at once
 
 
 def string_slices(col: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -183,6 +184,8 @@ def string_slices(col: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]
         end = max(at + 1, int(np.searchsorted(offs, offs[at] + SLICE, "right")) - 1)
         yield at, offs[at : end + 1] - offs[at], data[offs[at] : offs[end]]
         at = end
+    del bufs, data
+    trim()
 
 
 PRIME = 0x9E3779B97F4A7C15 | 1
@@ -250,11 +253,21 @@ def words(offs: np.ndarray, data: np.ndarray, sep: np.ndarray = WHITE) -> tuple[
     return h, s, np.searchsorted(s, offs)
 
 
+def trim() -> None:
+    """Gives memory that a batch has freed back to the system, so that reused Python workers do not add up."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def by_batch(f: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches):
         for b in batches:
             if (out := f(b)) is not None:
                 yield out
+        trim()
 
     return run
 

@@ -36,7 +36,8 @@ from locusgrid.llm import common as C
 LIMIT = 4096
 PUNCTUATION = string.punctuation
 MARK = "\uf8ff\x00\uf8ff"  # stands after each text as a word of its own; texts that hold it are encoded one by one
-CACHE = 300_000  # white-space words whose ids a task keeps
+SLICE = 1 << 20  # bytes of text tokenised at once
+CACHE = 250_000  # white-space words whose ids a task keeps
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -160,7 +161,7 @@ def tokenise(docs: DataFrame, path: str, limit: int = LIMIT, with_ids: bool = Fa
             while at < n:
                 end = at + 1
                 size = int(lengths[at])
-                while end < n and size + lengths[end] <= C.SLICE:
+                while end < n and size + lengths[end] <= SLICE:
                     size += int(lengths[end])
                     end += 1
                 flat, offs = tok.batch([x or "" for x in b.column(1).slice(at, end - at).to_pylist()])
@@ -180,6 +181,7 @@ def tokenise(docs: DataFrame, path: str, limit: int = LIMIT, with_ids: bool = Fa
                 cols = [ids.slice(at, end - at).take(pa.array(doc, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
                 yield pa.RecordBatch.from_arrays([*cols, *([pa.array(blobs, pa.binary())] if with_ids else [])], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids])
                 at = end
+            C.trim()
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return d.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
