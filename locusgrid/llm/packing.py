@@ -36,8 +36,8 @@ from locusgrid.llm import common as C
 LIMIT = 4096
 PUNCTUATION = string.punctuation
 MARK = "\uf8ff\x00\uf8ff"  # stands after each text as a word of its own; texts that hold it are encoded one by one
-SLICE = 1 << 20  # bytes of text tokenised at once
-CACHE = 250_000  # white-space words whose ids a task keeps
+SLICE = 1 << 19  # bytes of text tokenised at once
+CACHE = 150_000  # white-space words whose ids a task keeps
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -149,11 +149,22 @@ class WordIds:
         return ids, np.concatenate(([0], total[1:][index == self.at[MARK]]))
 
 
+_made: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """One per Python worker: its words serve later tasks, and its memory is not taken anew for each."""
+    if path not in _made:
+        _made[path] = WordIds(path)
+        C.trim()
+    return _made[path]
+
+
 def tokenise(docs: DataFrame, path: str, limit: int = LIMIT, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of each piece of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = WordIds(path)
+        tok = word_ids(path)
         for b in batches:
             ids = b.column(0)
             at, n = 0, b.num_rows
@@ -181,7 +192,7 @@ def tokenise(docs: DataFrame, path: str, limit: int = LIMIT, with_ids: bool = Fa
                 cols = [ids.slice(at, end - at).take(pa.array(doc, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
                 yield pa.RecordBatch.from_arrays([*cols, *([pa.array(blobs, pa.binary())] if with_ids else [])], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids])
                 at = end
-            C.trim()
+                C.trim()
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return d.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
