@@ -25,9 +25,19 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+BATCH = 4 << 20  # bytes of an Arrow batch between the JVM and Python
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes where the session does not, so that a task's memory does not follow the length of texts."""
+    if spark.conf.get(key := "spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set(key, BATCH)
+
+
 def stage(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """Writes a table into the shared folder and reads it again. `path_of` tells where it is."""
+    """Writes a table into the shared folder and reads it again; `unstage` deletes it."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/stage/{name}-{uuid.uuid4().hex[:12]}"
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
@@ -273,6 +283,7 @@ def by_batch(f: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable[[
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
