@@ -175,7 +175,8 @@ def redact(docs: DataFrame, **kw) -> DataFrame:
     marks = C.stage(marks, "pii-marks")
     bits = docs.sparkSession.sparkContext.broadcast(C.bloom(marks, "doc_id", 24))
     split = C.flagged(docs, "doc_id", bits)
-    touched = split.where("_maybe").drop("_maybe").join(marks, "doc_id", "left").select(*docs.columns, "_spans").mapInArrow(C.by_batch(run), docs.schema)
+    # a shuffled join keeps the two Python steps in stages of their own: in one, each task would hold two workers
+    touched = split.where("_maybe").drop("_maybe").join(marks.hint("merge"), "doc_id", "left").select(*docs.columns, "_spans").mapInArrow(C.by_batch(run), docs.schema)
     out = split.where("NOT _maybe").drop("_maybe").unionByName(touched)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
