@@ -153,18 +153,18 @@ def in_bloom(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, component) of the nodes in edges (a, b); the component is its smallest node.
 
-    Alternating large and small stars. Neighbour minima are aggregates with map-side combine and come back by a join, whose skewed
-    keys Spark can split; each round's edges are a staged table. The large star is one join, done for each of its two uses
-    rather than written.
+    Alternating large and small stars. Neighbour minima are aggregates with map-side combine and come back by a join. They are dealt
+    anew before it, as Spark can split a skewed key only where no aggregate stands between join and shuffle. Each round's edges are a
+    staged table. The large star is one join, done for each of its two uses rather than written.
     """
     e = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", compact=True)
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")).hint("rebalance")
         large = e.select(F.col("b").alias("a"), F.col("a").alias("v")).join(least, "a").select(F.col("v").alias("a"), F.col("m").alias("b"))
         # an edge (a, b), a > b, seen from its smaller end b: a moves to b's smallest neighbour
         large = large.where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = large.groupBy("a").agg(F.min("b").alias("m")).hint("rebalance")
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b")
         n = stage(small.where("a <> b").distinct(), "edges", compact=True)
         done = n.groupBy("a").agg(F.count("*").alias("k")).where("k > 1").limit(1).count() == 0 and n.join(n.select(F.col("a").alias("b")).distinct(), "b", "left_semi").limit(1).count() == 0
