@@ -1,15 +1,17 @@
 """Benchmark decontamination by templates. DataFrame functions only.
 
-Texts are canonicalised: names (capitalised words inside a sentence), numbers and units after numbers become typed slots; the other
-words are lower-cased. Windows of `window` canonical words are hashed, and the windows of documents meet those of benchmark items by an
+Texts are canonicalised: names (capitalised words, whatever stands before them), numbers and units after numbers become typed slots; the
+other words are lower-cased. Each window is hashed twice, with names as slots and with names as lower-cased words, so that copies in other
+case or with other white space are found too. Windows of `window` canonical words are hashed, and the windows of documents meet those of benchmark items by an
 equi join on the hash. A document and an item that share at least `least` different windows of the item (all, if it has fewer) are a
 candidate; then the slots of the matched windows are compared: within a pair, one value of the item must always map to one value of the
-document. Equal values are a verbatim copy; consistently different ones a re-parameterised question; others are dropped.
+document. Equal values are a verbatim copy; consistently different ones a re-parameterised question; others are dropped. A capitalised word at the
+start of an item's sentence may be no name: it is held to one value only if the item has it inside a sentence as well.
 
 The benchmark's windows are broadcast only when their counted number is within BROADCAST_WINDOWS; otherwise the join shuffles.
 
 Defined cases: null and empty texts match nothing; an item of fewer than `window` words has one window of the whole item, which documents
-match at that length too; repeated rows of a document or item add nothing; null ids match nothing; other columns are ignored.
+match at that length too, its first word by value unless it is a number; repeated rows of a document or item add nothing; null ids match nothing; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,55 +27,94 @@ BROADCAST_WINDOWS = 200_000  # 24 bytes each
 #: Units that may follow a number.
 UNITS = "kg|g|mg|km|m|cm|mm|mi|miles?|feet|ft|inch(?:es)?|l|ml|litres?|liters?|hours?|minutes?|seconds?|days?|weeks?|months?|years?|dollars?|cents?|euros?|percent|pounds?|lbs?|kmh|mph|degrees?"
 NUMBER, NAME, UNIT = "\u0001", "\u0002", "\u0003"  # marks of a slot's type, before its value
+INITIAL = "\u0004"  # in items, a capitalised word at the start of a sentence: a name or not
 
 
-def marked(text: Column) -> Column:
-    """Words of a text, slots with their mark and value."""
-    plain = F.translate(text, NUMBER + NAME + UNIT, "   ")
-    named = F.regexp_replace(plain, r"(?<=[\p{Ll},;] )(\p{Lu}\p{L}*)", NAME + "$1")
+def marked(text: Column, item: bool = False) -> Column:
+    """Words of a text, slots with their mark and value. item: INITIAL marks the capitalised words that start a sentence."""
+    plain = F.translate(text, NUMBER + NAME + UNIT + INITIAL, "    ")
+    if item:
+        plain = F.regexp_replace(plain, r"((?:^|[.!?:])[^\p{L}\p{N}]*)(\p{Lu})", f"$1{INITIAL}$2")
+    named = F.regexp_replace(plain, f"(?<![\\p{{L}}\\p{{M}}\\p{{N}}{INITIAL}])(\\p{{Lu}})", NAME + "$1")
     lower = F.lower(named)
-    numbered = F.when(lower.rlike("[0-9]"), F.regexp_replace(F.regexp_replace(lower, r"(?<![\p{L}0-9])([0-9]+(?:[.,][0-9]+)*)", f" {NUMBER}$1 "), f"({NUMBER}[0-9.,]+ )[ ]*({UNITS})(?![\\p{{L}}0-9])", f"$1{UNIT}$2")).otherwise(lower)
+    numbered = F.when(lower.rlike("[0-9]"), F.regexp_replace(F.regexp_replace(lower, r"(?<![\p{L}0-9])([0-9]+(?:[.,][0-9]+)*)", f" {NUMBER}$1 "), f"({NUMBER}[0-9.,]+ )[\\s\u0085\u00a0\u3000]*[{NAME}{INITIAL}]?({UNITS})(?![\\p{{L}}0-9])", f"$1{UNIT}$2")).otherwise(lower)
     # a number keeps the point and comma inside it: words end at white space and other punctuation, or at these without a digit next
-    words = F.split(numbered, r"(?:[\x00\x04-\x2B\x2D\x2F\x3A-\x60\x7B-\x7F -⁯]|[.,](?![0-9])|(?<![0-9])[.,])+")
-    return F.filter(words, lambda w: w != "")
+    words = F.split(numbered, r"(?:[\x00\x05-\x2B\x2D\x2F\x3A-\x60\x7B-\x7F\x{85}\x{A0}\x{1680}\x{3000}\x{2000}-\x{206F}]|[.,](?![0-9])|(?<![0-9])[.,])+")
+    return F.filter(words, lambda w: ~w.isin("", NUMBER, NAME, UNIT, INITIAL))
 
 
-def canonical(words: Column) -> Column:
-    """Each word's hash; slots by their type alone."""
-    first = lambda w: F.substring(w, 1, 1)
-    return F.transform(words, lambda w: F.xxhash64(F.when(first(w) <= UNIT, first(w)).otherwise(w)))
+def first(w: Column) -> Column:
+    return F.substring(w, 1, 1)
 
 
-def windows(hashes: Column, n: int) -> Column:
-    """Hashes of all runs of n successive elements, built by doubling; empty if there are fewer."""
+def bare(w: Column) -> Column:
+    """A word without its mark."""
+    return F.when(first(w) <= INITIAL, F.substring(w, 2, 1 << 30)).otherwise(w)
+
+
+def canonical(words: Column, names: str = NAME + INITIAL) -> Column:
+    """Each word's hash; numbers, units and the given marks of names by their type alone."""
+    typed = lambda w: F.when(first(w).isin(NUMBER, UNIT), first(w)).when(first(w).isin(*names), F.lit(NAME)) if names else F.when(first(w).isin(NUMBER, UNIT), first(w))
+    return F.transform(words, lambda w: F.xxhash64(typed(w).otherwise(bare(w))))
+
+
+def with_first(hashes: Column, h: Column) -> Column:
+    return F.concat(F.array(h), F.slice(hashes, 2, F.greatest(F.size(hashes) - 1, F.lit(0))))
+
+
+def plain_first(words: Column) -> Column:
+    """Names as slots, but for the first word."""
+    return with_first(canonical(words), canonical(F.slice(words, 1, 1), "")[0])
+
+
+def windows(hashes: Column, n: int, heads: Column | None = None) -> Column:
+    """Hashes of all runs of n successive elements, built by doubling; empty if there are fewer. heads: stand for the first of each run."""
+
+    def join(a: Column, b: Column, step: int) -> Column:
+        rest = lambda x, k: F.slice(x, k, F.greatest(F.size(x) - step, F.lit(0)))
+        return F.zip_with(rest(a, 1), rest(b, step + 1), lambda x, y: F.xxhash64(x, y))
 
     def grow(have: Column, size: int) -> Column:
         if size == n:
-            return have
+            return have["f"] if heads is not None else have
         step = min(size, n - size)
-        return let(have, lambda h: grow(F.zip_with(F.slice(h, 1, F.greatest(F.size(h) - step, F.lit(0))), F.slice(h, step + 1, F.greatest(F.size(h) - step, F.lit(0))), lambda a, b: F.xxhash64(a, b)), size + step))
+        if heads is None:
+            return let(have, lambda h: grow(join(h, h, step), size + step))
+        return let(have, lambda h: grow(F.struct(join(h["f"], h["a"], step).alias("f"), join(h["a"], h["a"], step).alias("a")), size + step))
 
-    return let(hashes, lambda h: F.when(F.size(h) >= n, grow(h, 1)).otherwise(F.array().cast("array<bigint>")))
+    start = hashes if heads is None else F.struct(heads.alias("f"), hashes.alias("a"))
+    return let(start, lambda h: F.when(F.size(h if heads is None else h["a"]) >= n, grow(h, 1)).otherwise(F.array().cast("array<bigint>")))
 
 
 def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
-    """(item_id, size, at, h, n): the windows of each item, `at` counting from 0, n in all; size is their length in words."""
-    b = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), marked(F.col("text").cast("string")).alias("w")).where(F.size("w") > 0)
-    b = b.withColumn("c", canonical(F.col("w"))).withColumn("size", F.least(F.size("c"), F.lit(window)))
-    whole = F.lit(None).cast("array<bigint>")
-    for n in range(1, window + 1):
-        whole = F.when(F.col("size") == n, windows(F.col("c"), n)).otherwise(whole)
-    b = b.select("item_id", "size", whole.alias("hs"))
-    return b.select("item_id", "size", F.size("hs").alias("n"), F.posexplode("hs").alias("at", "h"))
-
-
-def document_windows(words: DataFrame, sizes: list[int]) -> DataFrame:
-    """(doc_id, size, at, h) of all windows of the given sizes."""
-    parts = [words.select("doc_id", F.lit(n).alias("size"), F.posexplode(windows(F.col("c"), n)).alias("at", "h")) for n in sizes]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """(item_id, size, at, h, n): the windows of each item, `at` counting from 0, n places in all; size is their length in words. A place
+    has several hashes: names as slots or words, words that start a sentence as either, and the item's first word as a slot."""
+    b = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), marked(F.col("text").cast("string"), True).alias("w")).where(F.size("w") > 0)
+    b = b.withColumn("size", F.least(F.size("w"), F.lit(window)))
+    w = F.col("w")
+    slot = F.when(first(w[0]) == NUMBER, F.xxhash64(F.lit(NUMBER))).otherwise(F.xxhash64(F.lit(NAME)))
+    whole = F.lit(None).cast("array<struct<at:int,h:bigint>>")
+    put = lambda hs, n: F.transform(windows(hs, n), lambda h, i: F.struct(i.cast("int").alias("at"), h.alias("h")))
+    for n in range(1, window):
+        whole = F.when(F.col("size") == n, F.concat(put(canonical(w, ""), n), put(plain_first(w), n))).otherwise(whole)
+    long = F.concat(*[put(canonical(w, names), window) for names in (NAME + INITIAL, NAME, "")], put(with_first(F.slice(canonical(w), 1, window), slot), window))
+    b = b.select("item_id", "size", F.array_distinct(F.when(F.col("size") == window, long).otherwise(whole)).alias("hs"), (F.size("w") - F.col("size") + 1).alias("n"))
+    return b.select("item_id", "size", "n", F.explode("hs").alias("x")).select("item_id", "size", "n", "x.at", "x.h")
+
+
+def document_windows(docs: DataFrame, sizes: list[int], window: int) -> DataFrame:
+    """(doc_id, size, at, h) of all windows of the given sizes, with names as slots (in short windows not at the first word) and, where
+    that differs, as words. docs: (doc_id, text)."""
+
+    def both(c: Column, n: int) -> Column:
+        put = lambda h, i: F.struct(F.lit(n).alias("size"), i.cast("int").alias("at"), h.alias("h"))
+        slots = windows(c["a"], n) if n == window else windows(c["a"], n, c["b"])
+        other = lambda x: F.filter(F.transform(x["b"], lambda h, i: F.when(h != x["a"][i], put(h, i))), lambda y: y.isNotNull())
+        return let(F.struct(slots.alias("a"), windows(c["b"], n).alias("b")), lambda x: F.concat(F.transform(x["a"], put), other(x)))
+
+    c = let(marked(F.col("text")), lambda w: F.struct(canonical(w).alias("a"), canonical(w, "").alias("b")))
+    out = let(c, lambda x: F.concat(*[both(x, n) for n in sizes]))
+    return docs.select("doc_id", F.explode(out).alias("x")).select("doc_id", "x.size", "x.at", "x.h")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: int = LEAST) -> DataFrame:
@@ -86,21 +127,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, le
     keys = items.groupBy("size", "h").agg(F.count("*").alias("k"))
     small = n <= BROADCAST_WINDOWS
     keys = F.broadcast(keys.select("size", "h")) if small else keys.select("size", "h")
-    hashed = d.select("doc_id", canonical(marked(F.col("text"))).alias("c"))
-    hits = C.stage(document_windows(hashed, sizes).join(keys, ["size", "h"], "left_semi" if not small else "inner"), "bench-hits")
+    hits = C.stage(document_windows(d, sizes, window).join(keys, ["size", "h"], "left_semi" if not small else "inner"), "bench-hits")
     pairs = hits.join(F.broadcast(items) if small else items, ["size", "h"])
     per = pairs.groupBy("doc_id", "item_id").agg(F.countDistinct(items["at"]).alias("n_windows"), F.max("n").alias("n")).where(F.col("n_windows") >= F.least(F.lit(least), F.col("n")))
     per = C.stage(per, "bench-pairs")
 
     # slots: the words of just the candidate documents and items are taken again
     pair_at = pairs.select("doc_id", "item_id", "size", hits["at"].alias("i"), items["at"].alias("j")).join(per.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_semi")
-    slot = lambda ws, k: F.transform(F.slice(ws, k + 1, F.col("size")), lambda w: F.when(F.substring(w, 1, 1) <= UNIT, w))
-    bw = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), marked(F.col("text").cast("string")).alias("bw"))
-    slotted = bw.where(F.exists("bw", lambda w: F.substring(w, 1, 1) <= UNIT))
+    part = lambda ws, k: F.slice(ws, k + 1, F.col("size"))
+    slot = lambda ws, k: F.transform(part(ws, k), lambda w: F.when(first(w) <= INITIAL, w))
+    bw = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), marked(F.col("text").cast("string"), True).alias("bw"))
+    inside = lambda w: F.concat(F.lit(NAME), bare(w))
+    named = lambda ws: F.transform(ws, lambda w, i: F.when((first(w) == INITIAL) & F.array_contains(ws, inside(w)), inside(w)).when((i == 0) & (first(w) > INITIAL), F.concat(F.lit(INITIAL), w)).otherwise(w))
+    bw = bw.select("item_id", let(F.col("bw"), named).alias("bw"))
+    slotted = bw.where(F.exists("bw", lambda w: first(w) <= INITIAL))
     open_ = pair_at.join(slotted.select("item_id"), "item_id", "left_semi")
     ids = C.stage(open_.select("doc_id").distinct(), "bench-docs")
     dw = d.join(ids, "doc_id", "left_semi").select("doc_id", marked(F.col("text")).alias("dw"))
-    pieces = dw.join(open_, "doc_id").select("doc_id", "item_id", "j", "size", slot(F.col("dw"), F.col("i")).alias("ds"))
+    pieces = dw.join(open_, "doc_id").select("doc_id", "item_id", "j", "size", F.transform(part(F.col("dw"), F.col("i")), bare).alias("ds"))
     both = pieces.join(slotted, "item_id").select("doc_id", "item_id", "j", "ds", slot(F.col("bw"), F.col("j")).alias("bs"))
     cells = both.select("doc_id", "item_id", "j", F.posexplode(F.arrays_zip("bs", "ds")).alias("k", "x")).where("x.bs IS NOT NULL").select("doc_id", "item_id", (F.col("j") + F.col("k")).alias("place"), F.col("x.bs").alias("b"), F.col("x.ds").alias("v")).distinct()
     # an item's value maps to one value of the document, and so do its places; a window that stands twice brings several: the pair is
@@ -108,7 +152,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, le
     place = cells.groupBy("doc_id", "item_id", "b", "place").agg(F.collect_set("v").alias("vs"))
     value = place.groupBy("doc_id", "item_id", "b").agg(F.collect_list("vs").alias("all"))
     fits = F.aggregate("all", F.col("all")[0], lambda a, x: F.array_intersect(a, x))
-    value = value.select("doc_id", "item_id", (F.size(fits) > 0).alias("ok"), F.array_contains(fits, F.col("b")).alias("same"))
+    value = value.select("doc_id", "item_id", ((F.size(fits) > 0) | (first(F.col("b")) == INITIAL)).alias("ok"), F.array_contains(fits, bare(F.col("b"))).alias("same"))
     slots = value.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_slots"), F.count_if(~F.col("same")).alias("n_changed"), F.min("ok").alias("ok"))
     out = per.join(slots, ["doc_id", "item_id"], "left").where("coalesce(ok, true)")
     changed = F.coalesce("n_changed", F.lit(0))

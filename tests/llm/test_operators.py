@@ -190,3 +190,15 @@ def test_decontamination(spark):
     assert got == {0: "verbatim", 1: "template", 6: "verbatim"}
     assert decontaminate.contaminated(empty(spark), bench).count() == 0
     assert decontaminate.contaminated(table(spark, rows), bench.where("false")).count() == 0
+
+
+def test_decontamination_case_and_space(spark):
+    item = "Yesterday Anna Miller and her friend Peter Schmidt drove 120 km from Berlin to Hamburg in 3 hours and then met Clara Weber near the old town hall of Altona"
+    other = item.replace("120", "250").replace("Anna", "Emma")
+    short, first = "what did Peter pay for 7 apples", "Compute how many pears Anna has after Peter eats 12"
+    rows = [item.replace(" ", "\n"), item.replace(" ", "  "), item.lower(), item.upper(), item.replace("Anna", '"Anna"').replace("Berlin", "\u201cBerlin\u201d"), other.replace(" ", "\n"), other.upper(), prose(50)]
+    rows += ["Now, What did Carl pay for 9 apples", "what did peter pay for 7 apples", "who did Peter pay for 7 apples", "ok. compute how many pears anna has after peter eats 12", item.replace("Yesterday", "Today").replace(" ", "\u00a0")]
+    bench = spark.createDataFrame([(0, item), (1, short), (2, first)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.verdict, r.share) for r in decontaminate.contaminated(table(spark, rows), bench).collect()}
+    assert {k: v[0] for k, v in got.items()} == dict.fromkeys([(i, 0) for i in range(5)], "verbatim") | {(5, 0): "template", (6, 0): "template", (8, 1): "template", (9, 1): "verbatim", (11, 2): "verbatim", (12, 0): "template"}
+    assert all(got[i, 0][1] == 1 for i in range(6))
