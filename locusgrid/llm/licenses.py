@@ -1,10 +1,11 @@
 """License scan: phrases, and a set-similarity join of text blocks with license templates. DataFrame functions only.
 
-A block is a line. A template matches a block that holds at least `percent` of its distinct words. Words are put in one global order,
+A template of L words matches a text where a run of at most L * 100 / percent successive words, whatever line breaks stand in it, holds at
+least `percent` of its distinct words. Blocks are runs of twice the longest such length at steps of it, so that each run lies in a block. Words are put in one global order,
 rare first by the number of documents that hold them (counted over all documents, for the templates' words, a set of fixed size). Of a
 template of size n that needs k words, a matching block must hold one of its n - k + 1 rarest; that join on the prefix word, a length
-filter (the block has at least k template words) and a positional filter (enough words of the template remain from the shared one on,
-in both) leave few pairs, which are compared in full.
+filter (the block has at least k words of some template) and a positional filter (enough words of the template remain from the shared one on,
+in it) leave few pairs, whose runs are compared in full.
 
 Only blocks of documents that hold k words of some template at all are cut out, in the same pass that counts.
 
@@ -13,6 +14,8 @@ Defined cases: null and empty texts have no words, places or labels and score 0;
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +29,8 @@ PHRASES = {"mit": "under the mit license", "apache-2": "apache license version 2
 TEMPLATES = {
     "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction",
     "mit-notice": "Released under the MIT License",
+    "apache-2-notice": "Licensed under the Apache License, Version 2.0",
+    "gpl-notice": "under the GNU General Public License",
     "apache-2": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License",
     "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
@@ -44,10 +49,11 @@ def phrase_pattern(phrase: str) -> str:
     return f"(?i)(?<![^{SEP}])" + f"[{SEP}]+".join(phrase.split()) + f"(?![^{SEP}])"
 
 
-def template_words(templates: dict[str, str]) -> dict[str, list[str]]:
-    import re
+WORD_OF = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
 
-    return {k: sorted(set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", v.lower()))) for k, v in templates.items()}
+def template_words(templates: dict[str, str]) -> dict[str, list[str]]:
+    return {k: sorted(set(re.findall(WORD_OF, v.lower()))) for k, v in templates.items()}
 
 
 def n_words(text: Column) -> Column:
@@ -59,6 +65,13 @@ def held(text: Column, vocabulary: list[str]) -> Column:
     return F.array_intersect(F.split(F.lower(text), f"[{SEP}]+"), F.array(*[F.lit(w) for w in vocabulary]))
 
 
+def best_run(block: Column, words: Column, length: Column) -> Column:
+    """The most different ones of `words` that some `length` successive words of a block hold."""
+    at = F.filter(F.transform(block, lambda x, i: F.when(F.array_contains(words, x), F.struct(i.alias("i"), x.alias("w")))), lambda x: x.isNotNull())
+    inside = lambda e, s: F.filter(e, lambda x: (x["i"] >= s["i"]) & (x["i"] < s["i"] + length))
+    return let(at, lambda e: F.array_max(F.transform(e, lambda s: F.size(F.array_distinct(F.transform(inside(e, s), lambda x: x["w"]))))))
+
+
 def place_of(size: int):
     """Of a text split at a phrase of `size` words: how often it stands there, and the first and last word number."""
     last = lambda parts: n_words(F.col("t")) - n_words(F.element_at(parts, -1)) - size
@@ -67,7 +80,8 @@ def place_of(size: int):
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, percent: int = 80) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
-    sets = template_words(templates or TEMPLATES)
+    templates = templates or TEMPLATES
+    sets = template_words(templates)
     vocabulary = sorted({w for s in sets.values() for w in s})
     need = {k: (len(s) * percent + 99) // 100 for k, s in sets.items()}
     t = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -82,22 +96,23 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, percent: int
     for k, s in sets.items():
         enough = enough | (F.size(F.array_intersect("v", F.array(*[F.lit(w) for w in s]))) >= need[k])
     df = df.select("doc_id", "row", "t", n_words(F.col("t")).alias("n_words"), F.filter(F.array(*places), lambda x: x["p"].isNotNull()).alias("base"), words.alias("v"))
-    lines = F.transform(F.split("t", "\n"), lambda x: held(x, vocabulary))
-    least = min(need.values())
-    blocks = F.when(enough, F.filter(lines, lambda b: F.size(b) >= least))
+    long = {k: (len(re.findall(WORD_OF, v)) * 100 + percent - 1) // percent for k, v in templates.items()}
+    step, least, known = max(long.values()), min(need.values()), F.array(*[F.lit(w) for w in vocabulary])
+    runs = lambda ws: F.transform(F.sequence(F.lit(0), F.floor((F.size(ws) - 1) / step).cast("int")), lambda k: F.slice(ws, k * step + 1, F.lit(2 * step)))
+    blocks = F.when(enough, let(F.split(F.lower("t"), f"[{SEP}]+"), lambda ws: F.filter(runs(ws), lambda b: F.size(F.array_intersect(b, known)) >= least)))
     one = C.stage(df.select("doc_id", "row", "n_words", "base", "v", blocks.alias("blocks")), "license-rows")
 
     spark = docs.sparkSession
     df_count = one.select(F.explode("v").alias("w")).groupBy("w").agg(F.count("*").alias("df"))
     every = spark.createDataFrame([(w,) for w in vocabulary], "w string").join(df_count, "w", "left").select("w", F.coalesce("df", F.lit(0)).alias("df"))
-    shape = spark.createDataFrame([(k, w, len(s), need[k]) for k, s in sets.items() for w in s], "label string, w string, size int, need int").join(every, "w")
+    shape = spark.createDataFrame([(k, w, len(s), need[k], long[k]) for k, s in sets.items() for w in s], "label string, w string, size int, need int, long int").join(every, "w")
     # the templates in the global order: a row each, bounded by the template list
-    ordered = shape.groupBy("label", "size", "need").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("ws")).select("label", "size", "need", F.transform("ws", lambda x: x["w"]).alias("ws"))
-    prefix = ordered.select("label", "size", "need", "ws", F.posexplode(F.slice("ws", F.lit(1), F.col("size") - F.col("need") + 1)).alias("i", "w"))
-    cut = one.where("blocks IS NOT NULL").select("row", F.explode(F.transform("blocks", lambda b: F.array_distinct(b))).alias("b"))
-    pairs = cut.select("row", "b", F.explode("b").alias("w")).join(F.broadcast(prefix), "w")  # a row a prefix word of the fixed templates
-    pairs = pairs.where((F.size("b") >= F.col("need")) & (F.col("size") - F.col("i") >= F.col("need")))
-    score = F.size(F.array_intersect("b", "ws")) / F.col("size")
+    ordered = shape.groupBy("label", "size", "need", "long").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("ws")).select("label", "size", "need", "long", F.transform("ws", lambda x: x["w"]).alias("ws"))
+    prefix = ordered.select("label", "size", "need", "long", "ws", F.posexplode(F.slice("ws", F.lit(1), F.col("size") - F.col("need") + 1)).alias("i", "w"))
+    cut = one.where("blocks IS NOT NULL").select("row", F.explode("blocks").alias("b"))
+    pairs = cut.select("row", "b", F.explode(F.array_intersect("b", known)).alias("w")).join(F.broadcast(prefix), "w")  # a row a prefix word of the fixed templates
+    pairs = pairs.where((F.col("size") - F.col("i") >= F.col("need")) & (F.size(F.array_intersect("b", "ws")) >= F.col("need")))
+    score = best_run(F.col("b"), F.col("ws"), F.col("long")) / F.col("size")
     hits = pairs.withColumn("score", score).where(F.col("score") * 100 >= percent).groupBy("row").agg(F.collect_set(F.regexp_replace("label", "-notice$", "")).alias("more"), F.max("score").alias("score"))
 
     out = one.select("doc_id", "row", "n_words", "base").join(hits, "row", "left")

@@ -202,3 +202,13 @@ def test_decontamination_case_and_space(spark):
     got = {(r.doc_id, r.item_id): (r.verdict, r.share) for r in decontaminate.contaminated(table(spark, rows), bench).collect()}
     assert {k: v[0] for k, v in got.items()} == dict.fromkeys([(i, 0) for i in range(5)], "verbatim") | {(5, 0): "template", (6, 0): "template", (8, 1): "template", (9, 1): "verbatim", (11, 2): "verbatim", (12, 0): "template"}
     assert all(got[i, 0][1] == 1 for i in range(6))
+
+
+def test_licenses_wrapped_and_spread(spark):
+    import textwrap
+
+    rows = [prose(60) + "\n" + "\n".join(textwrap.wrap(v, 40)) + "\n" + prose(60) for v in licenses.TEMPLATES.values()]
+    rows += [(" " + prose(30) + " ").join(licenses.TEMPLATES["unlicense"].split()), "This program is covered\nunder the GNU General\nPublic License."]
+    got = [r.labels.split(",") for r in licenses.scan(table(spark, rows)).orderBy("doc_id").collect()]
+    assert all(k.removesuffix("-notice") in x for k, x in zip(licenses.TEMPLATES, got, strict=False))
+    assert got[-2:] == [[""], ["gpl"]]
