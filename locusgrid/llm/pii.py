@@ -153,11 +153,16 @@ def report(docs: DataFrame, **kw) -> DataFrame:
 
 
 def redact(docs: DataFrame, **kw) -> DataFrame:
-    """docs with each span replaced by its kind in brackets; n_chars follows if there is such a column. Spans meet the texts again by id,
-    and only documents with spans move. doc_id must name a text: rows that repeat an id have equal texts."""
-    found = find(docs, **kw)
+    """docs with each span replaced by its kind in brackets; n_chars follows if there is such a column. Spans meet the texts again by the
+    hash of id and text, and only documents with spans move: rows with a null id and rows that repeat an id with another text each get
+    the spans of their own text. Rows equal in both share their spans, which follow from the text alone."""
+    from pyspark.sql import types as T
+
+    docs = docs.select("*", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("_key"))
+    found = find(docs.select(F.col("_key").alias("doc_id"), "text"), **kw)
     where = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.array_join(F.transform("found", lambda s: F.concat_ws(":", F.lit("id"), s["start"].cast("string"), s["end"].cast("string"))), ","))
-    marks = found.select("doc_id", where.alias("_spans")).where("_spans <> '' AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("_spans").alias("_spans"))
+    marks = found.select(F.col("doc_id").alias("_key"), where.alias("_spans")).where("_spans <> ''").groupBy("_key").agg(F.max("_spans").alias("_spans"))
+    names, schema = docs.columns[:-1], T.StructType(docs.schema.fields[:-1])
 
     def run(t: pa.RecordBatch) -> pa.RecordBatch:
         texts = []
@@ -173,11 +178,11 @@ def redact(docs: DataFrame, **kw) -> DataFrame:
         return pa.RecordBatch.from_arrays(cols, names=[n for n in t.schema.names if n != "_spans"])
 
     marks = C.stage(marks, "pii-marks")
-    bits = docs.sparkSession.sparkContext.broadcast(C.bloom(marks, "doc_id", 24))
-    split = C.flagged(docs, "doc_id", bits)
+    bits = docs.sparkSession.sparkContext.broadcast(C.bloom(marks, "_key", 24))
+    split = C.flagged(docs, "_key", bits)
     # a shuffled join keeps the two Python steps in stages of their own: in one, each task would hold two workers
-    touched = split.where("_maybe").drop("_maybe").join(marks.hint("merge"), "doc_id", "left").select(*docs.columns, "_spans").mapInArrow(C.by_batch(run), docs.schema)
-    out = split.where("NOT _maybe").drop("_maybe").unionByName(touched)
+    touched = split.where("_maybe").drop("_maybe").join(marks.hint("merge"), "_key", "left").select(*names, "_spans").mapInArrow(C.by_batch(run), schema)
+    out = split.where("NOT _maybe").select(*names).unionByName(touched)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

@@ -212,3 +212,10 @@ def test_licenses_wrapped_and_spread(spark):
     got = [r.labels.split(",") for r in licenses.scan(table(spark, rows)).orderBy("doc_id").collect()]
     assert all(k.removesuffix("-notice") in x for k, x in zip(licenses.TEMPLATES, got, strict=False))
     assert got[-2:] == [[""], ["gpl"]]
+
+
+def test_redact_null_and_repeated_ids(spark):
+    rows = [(None, "mail a@b.co now"), (None, "no data"), (1, "ring +1 (658) 555-4270 now"), (1, "x a@b.co and c@d.fr"), (1, "clean text of the same id"), (2, None), (None, None), (3, "mail a@b.co now"), (3, "mail a@b.co now")]
+    out = pii.redact(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    want = [(None, "mail [EMAIL] now"), (None, "no data"), (1, "ring [PHONE] now"), (1, "x [EMAIL] and [EMAIL]"), (1, "clean text of the same id"), (2, None), (None, None), (3, "mail [EMAIL] now"), (3, "mail [EMAIL] now")]
+    assert out.columns == ["doc_id", "text"] and sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, want))
