@@ -214,6 +214,14 @@ def test_licenses_wrapped_and_spread(spark):
     assert got[-2:] == [[""], ["gpl"]]
 
 
+def test_secrets_of_every_class(spark):
+    keys = ["JBSWY3DPEHPK3PXPJBSWY3DP", "k3q9x0m2v7b8t5n1r4w6h9s2j8d4z7", "QwErTzUiOpAsDfGhJkLyXcVbNmqW", "31415926535897932384626433", "8+3/1=9_4-2+7/0=5_6-8", "qzxvkwjpbmfhgydculrtnsoe"]
+    rows = [f"see {k} here" for k in keys] + ["how-to-build-a-house-in-30-days-and-2-nights", "w" * 40, "-=" * 20, "donaudampfschifffahrtsgesellschaft", "1" * 30]
+    got = {r.doc_id: r.spans for r in secrets.report(table(spark, rows)).collect()}
+    assert [got[i] for i in range(len(keys))] == [f"entropy:4:{4 + len(k)}" for k in keys]
+    assert [got[i] for i in range(len(keys), len(rows))] == [""] * 5
+
+
 def test_redact_null_and_repeated_ids(spark):
     rows = [(None, "mail a@b.co now"), (None, "no data"), (1, "ring +1 (658) 555-4270 now"), (1, "x a@b.co and c@d.fr"), (1, "clean text of the same id"), (2, None), (None, None), (3, "mail a@b.co now"), (3, "mail a@b.co now")]
     out = pii.redact(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
