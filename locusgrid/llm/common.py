@@ -5,6 +5,7 @@ Lineage is cut by tables written under `spark.checkpoint.dir`, so a lost executo
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import tempfile
 import uuid
@@ -17,9 +18,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and executors share; a temporary one is set only where none is, as in tests."""
+    """The folder that the driver and executors share. Where none is set, a temporary one serves a local master; on a cluster that is an
+    error, since executors would write to their own disks."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='locusgrid-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base
@@ -34,13 +38,17 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, BATCH)
 
 
+_live: dict[str, SparkSession] = {}  # staged tables that are still there
+
+
 def stage(df: DataFrame, name: str, *partition_by: str, compact: bool = False) -> DataFrame:
-    """Writes a table into the shared folder and reads it again; `unstage` deletes it. compact: rows move once more into partitions of the
-    advisory size, so that a table that may be small or large is as few files as it should be."""
+    """Writes a table into the shared folder and reads it again; `unstage` deletes it, at the latest when the driver ends. compact: rows
+    move once more into partitions of the advisory size, so that a table that may be small or large is as few files as it should be."""
     spark = df.sparkSession
     small_batches(spark)
     df = df.hint("rebalance") if compact else df
     path = f"{shared_dir(spark)}/stage/{name}-{uuid.uuid4().hex[:12]}"
+    _live[path] = spark
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
     out = spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
@@ -48,13 +56,47 @@ def stage(df: DataFrame, name: str, *partition_by: str, compact: bool = False) -
     return out
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder of any store that Spark can write."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
+
 def unstage(*tables: DataFrame) -> None:
     """Deletes staged tables that nothing reads any more."""
     for df in tables:
-        if path := getattr(df, "_staged", None):
-            jvm = df.sparkSession._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+        if (path := getattr(df, "_staged", None)) and _live.pop(path, None):
+            delete(df.sparkSession, path)
+
+
+def staged() -> set[str]:
+    """The staged tables that are there now, for `sweep`."""
+    return set(_live)
+
+
+def sweep(before: set[str], *keep: DataFrame) -> None:
+    """Deletes the tables staged since `before` was taken, but for those in keep: once a result has been written, nothing reads what its
+    lazy plan read."""
+    spare = before | {getattr(df, "_staged", None) for df in keep}
+    for path in [p for p in _live if p not in spare]:
+        delete(_live.pop(path), path)
+
+
+@atexit.register
+def _sweep_all() -> None:
+    with contextlib.suppress(Exception):  # the session may be gone, and its folder with it
+        sweep(set())
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Each name, with underscores added until no column of df has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        out.append(n)
+    return out
 
 
 # ---- fixed-size arrays summed over tasks ----
@@ -150,29 +192,81 @@ def in_bloom(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
 # ---- connected components ----
 
 
+def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node of its component) of the nodes of edges (a, b): each root hooks to its smallest neighbour's, paths halve."""
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    u, v = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while len(u):
+        ru, rv = root[u], root[v]
+        open_ = ru != rv
+        u, v, ru, rv = u[open_], v[open_], ru[open_], rv[open_]
+        np.minimum.at(root, np.maximum(ru, rv), np.minimum(ru, rv))
+        while not np.array_equal(up := root[root], root):
+            root = up
+    return nodes, nodes[root]
+
+
+def local_stars(edges: DataFrame) -> DataFrame:
+    """The edges (a, b) of a staged table with each partition's own components as stars: as connected as before, and no more rows than
+    nodes a partition, whose size the reader's partition bytes bound."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        got: list[pa.RecordBatch] = []
+        held = 0
+
+        def folded():
+            x = [np.concatenate((y, *(g.column(k).to_numpy() for g in got))) for k, y in enumerate((a, b))]
+            node, root = roots(*x)
+            far = node != root
+            return node[far], root[far]
+
+        for batch in batches:
+            got.append(batch)
+            held += batch.num_rows
+            if held > 1 << 20:
+                a, b = folded()
+                got, held = [], 0
+        a, b = folded()
+        for k in range(0, len(a), 1 << 18):
+            yield pa.RecordBatch.from_arrays([pa.array(a[k : k + (1 << 18)]), pa.array(b[k : k + (1 << 18)])], names=["a", "b"])
+
+    return edges.mapInArrow(run, "a long, b long")
+
+
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, component) of the nodes in edges (a, b); the component is its smallest node.
+    """(node, component) of the nodes in edges (a, b); the component is its smallest node. The result is a staged table.
 
-    Alternating large and small stars. Neighbour minima are aggregates with map-side combine and come back by a join. They are dealt
-    anew before it, as Spark can split a skewed key only where no aggregate stands between join and shuffle. Each round's edges are a
-    staged table. The large star is one join, done for each of its two uses rather than written.
+    Each round makes stars of every partition's own components, then takes one large and one small star step over all. Neighbour minima
+    are aggregates with map-side combine and come back by a join. They are dealt anew before it, as Spark can split a skewed key only
+    where no aggregate stands between join and shuffle. Each round's edges are a staged table; edges that fit in one partition are
+    settled by their first local step.
     """
     e = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", compact=True)
     for _ in range(rounds):
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")).hint("rebalance")
-        large = e.select(F.col("b").alias("a"), F.col("a").alias("v")).join(least, "a").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        # an edge (a, b), a > b, seen from its smaller end b: a moves to b's smallest neighbour
-        large = large.where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m")).hint("rebalance")
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b")
-        n = stage(small.where("a <> b").distinct(), "edges", compact=True)
-        done = n.groupBy("a").agg(F.count("*").alias("k")).where("k > 1").limit(1).count() == 0 and n.join(n.select(F.col("a").alias("b")).distinct(), "b", "left_semi").limit(1).count() == 0
+        whole = e.rdd.getNumPartitions() <= 1
+        n = stage(local_stars(e), "edges")
         unstage(e)
         e = n
+        done = whole
+        if not whole:
+            both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")).hint("rebalance")
+            large = e.select(F.col("b").alias("a"), F.col("a").alias("v")).join(least, "a").select(F.col("v").alias("a"), F.col("m").alias("b"))
+            # an edge (a, b), a > b, seen from its smaller end b: a moves to b's smallest neighbour
+            large = large.where("a <> b").distinct()
+            low = large.groupBy("a").agg(F.min("b").alias("m")).hint("rebalance")
+            small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b")
+            n = stage(small.where("a <> b").distinct(), "edges", compact=True)
+            done = n.groupBy("a").agg(F.count("*").alias("k")).where("k > 1").limit(1).count() == 0 and n.join(n.select(F.col("a").alias("b")).distinct(), "b", "left_semi").limit(1).count() == 0
+            unstage(e)
+            e = n
         if done:
-            roots = e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-            return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+            tops = e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+            out = stage(e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(tops), "components")
+            unstage(e)
+            return out
     raise RuntimeError("components did not settle")
 
 
@@ -201,19 +295,21 @@ def string_slices(col: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]
     trim()
 
 
-PRIME = 0x9E3779B97F4A7C15 | 1
-_powers: dict[str, np.ndarray] = {}
+PRIME, PRIME_2 = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """PRIME^i and PRIME^-i modulo 2^64 for i < n."""
-    if len(_powers.get("up", ())) < n:
-        size = max(n, SLICE + 1)
-        for name, base in (("up", PRIME), ("down", pow(PRIME, -1, 1 << 64))):
-            a = np.full(size, base, np.uint64)
+def powers(n: int, base: int = PRIME) -> tuple[np.ndarray, np.ndarray]:
+    """base^i and base^-i modulo 2^64 for i < n."""
+    if base not in _powers or len(_powers[base][0]) < n:
+        made = []
+        for x in (base, pow(base, -1, 1 << 64)):
+            a = np.full(max(n, SLICE + 1), x, np.uint64)
             a[0] = 1
-            _powers[name] = np.multiply.accumulate(a)
-    return _powers["up"][:n], _powers["down"][:n]
+            made.append(np.multiply.accumulate(a))
+        _powers[base] = made[0], made[1]
+    up, down = _powers[base]
+    return up[:n], down[:n]
 
 
 #: A scrambled value for each byte.
@@ -222,17 +318,17 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def prefix_hash(data: np.ndarray, table: np.ndarray = BYTE) -> np.ndarray:
-    """c with c[i] = sum over j < i of table[data[j]] * PRIME^j."""
-    up, _ = powers(len(data) + 1)
+def prefix_hash(data: np.ndarray, table: np.ndarray = BYTE, base: int = PRIME) -> np.ndarray:
+    """c with c[i] = sum over j < i of table[data[j]] * base^j."""
+    up, _ = powers(len(data) + 1, base)
     c = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(table[data] * up[:-1], out=c[1:])
     return c
 
 
-def span_hash(c: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def span_hash(c: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = PRIME) -> np.ndarray:
     """Hashes of data[start:end], the same wherever the span lies; the length goes in too."""
-    _, down = powers(len(c))
+    _, down = powers(len(c), base)
     return mix((c[end] - c[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
@@ -290,25 +386,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def flagged(docs: DataFrame, column: str, bits) -> DataFrame:
-    """docs with `_maybe`: whether the row's key may be in the Bloom filter. Null keys are not."""
+def flagged(docs: DataFrame, column: str, bits, mark: str) -> DataFrame:
+    """docs with the boolean column `mark`: whether the row's key may be in the Bloom filter. Null keys are not."""
     from pyspark.sql import types as T
 
     at = docs.columns.index(column)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         key = b.column(at).cast(pa.int64())
-        mark = in_bloom(bits.value, key.fill_null(0).to_numpy()) & ~key.is_null().to_numpy(zero_copy_only=False)
-        return pa.RecordBatch.from_arrays([*b.columns, pa.array(mark)], names=[*b.schema.names, "_maybe"])
-
-    return docs.mapInArrow(by_batch(run), T.StructType([*docs.schema.fields, T.StructField("_maybe", T.BooleanType())]))
-
+        hit = in_bloom(bits.value, key.fill_null(0).to_numpy()) & ~key.is_null().to_numpy(zero_copy_only=False)
+        return pa.RecordBatch.from_arrays([*b.columns, pa.array(hit)], names=[*b.schema.names, mark])
 
-def without(docs: DataFrame, gone: DataFrame, column: str = "doc_id") -> DataFrame:
-    """docs less the rows whose id is in `gone` (one long column of that name). Only rows that a fixed-size Bloom filter cannot clear
-    are shuffled."""
-    gone = stage(gone, "gone")
-    bits = docs.sparkSession.sparkContext.broadcast(bloom(gone, column, 24))
-    marked = flagged(docs, column, bits)
-    rest = marked.where("_maybe").drop("_maybe").join(gone, column, "left_anti").select(*docs.columns)
-    return marked.where("NOT _maybe").drop("_maybe").unionByName(rest)
+    return docs.mapInArrow(by_batch(run), T.StructType([*docs.schema.fields, T.StructField(mark, T.BooleanType())]))

@@ -14,7 +14,8 @@ Documents with equal n-gram sets are one class, named by a fingerprint of the se
 Sets of the compared classes come from a third pass over just those texts. n-grams are 64-bit hashes throughout.
 
 Defined cases: a text without words or a null text has an empty set, links with nothing; fewer words than n make one n-gram of the
-whole sequence; a null id gets a row with a null component and no links; repeated ids keep a row each; other columns are ignored.
+whole sequence; a null id gets a row with a null component, though links may pass through its text; repeated ids and rows keep a row each
+and link by their texts; an empty table gives an empty result; very long texts are taken whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -75,7 +76,7 @@ def pair_needed(na, nb, percent: int):
 
 
 def first_pass(docs: DataFrame, n: int) -> DataFrame:
-    """kind 0: id, size and class of a document; kind 1: a chunk of the task's n-gram counts."""
+    """kind 0: key, id, size and class of a document; kind 1: a chunk of the task's n-gram counts. docs: (doc_id, text, key)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -89,17 +90,17 @@ def first_pass(docs: DataFrame, n: int) -> DataFrame:
                 seen = True
                 k = len(so) - 1
                 null = lambda t: pa.nulls(k, t)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), ids.slice(at, k), pa.array(np.diff(so)), pa.array(fingerprint(values, so)), null(pa.int64()), null(pa.int32()), null(pa.binary())], names=NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), b.column(2).slice(at, k), ids.slice(at, k), pa.array(np.diff(so)), pa.array(fingerprint(values, so)), null(pa.int64()), null(pa.int32()), null(pa.binary())], names=NAMES)
         if seen:
             rows = C.chunk_rows(counts)
             k, me = len(rows), TaskContext.get().partitionId()
             null = lambda: pa.nulls(k, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), null(), null(), null(), pa.array([me] * k, pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), null(), null(), null(), null(), pa.array([me] * k, pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=NAMES)
 
-    return docs.mapInArrow(run, "kind int, doc_id long, n long, sig long, task long, chunk int, blob binary")
+    return docs.mapInArrow(run, "kind int, key long, doc_id long, n long, sig long, task long, chunk int, blob binary")
 
 
-NAMES = ["kind", "doc_id", "n", "sig", "task", "chunk", "blob"]
+NAMES = ["kind", "key", "doc_id", "n", "sig", "task", "chunk", "blob"]
 
 
 MAPS = ["m0", "m1", "m2", "m3"]
@@ -196,15 +197,18 @@ def possible(n1, p1, n2, p2, percent: int):
 
 
 def sets(docs: DataFrame, wanted, n: int) -> DataFrame:
-    """(sig, blob) of the documents whose id may be wanted: the sorted set as 64-bit values."""
+    """(sig, blob) of the documents whose key may be wanted: the sorted set as 64-bit values."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch | None:
-        keep = C.in_bloom(wanted.value, b.column(0).fill_null(-1).to_numpy())
+        keep = C.in_bloom(wanted.value, b.column(2).to_numpy())
         col = b.column(1).filter(pa.array(keep))
-        rows = []
+        rows, seen = [], set()
         for _, offs, data in C.string_slices(col):
             values, so = shingles(offs, data, n)
-            rows += [(s, values[so[i] : so[i + 1]].tobytes()) for i, s in enumerate(fingerprint(values, so).tolist())]
+            for i, s in enumerate(fingerprint(values, so).tolist()):
+                if s not in seen:
+                    seen.add(s)
+                    rows.append((s, values[so[i] : so[i + 1]].tobytes()))
         if not rows:
             return None
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["sig", "blob"])
@@ -229,12 +233,12 @@ def suffix_bound(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are similar enough, as a table. Each pair is compared once, with sets of just its texts."""
-    pairs = C.stage(pairs, "ngram-pairs")
-    named = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(classes, "sig")
-    wanted = docs.sparkSession.sparkContext.broadcast(C.bloom(named, "rep", 24))
+    """The pairs (a, b) of a staged table of classes whose sets are similar enough, as a table. Each pair is compared once, with sets of
+    just its texts."""
+    named = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(classes, "sig").select("key")
+    wanted = docs.sparkSession.sparkContext.broadcast(C.bloom(named, "key", 24))
     store = C.stage(sets(docs, wanted, n), "ngram-sets")
-    wanted.unpersist()
+    wanted.destroy()
     left = pairs.join(store.select(F.col("sig").alias("a"), F.col("blob").alias("x")), "a")
     both = left.join(store.select(F.col("sig").alias("b"), F.col("blob").alias("y")), "b").select("a", "b", "x", "y")
 
@@ -247,25 +251,26 @@ def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, percen
         return t.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     out = C.stage(both.mapInArrow(C.by_batch(run), "a long, b long"), "ngram-links")
-    C.unstage(pairs, store)
+    C.unstage(store)
     return out
 
 
-def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id), a row for each row of docs (doc_id, text, ...)."""
+def linked(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Staged tables: rows (key, doc_id, n, sig), one for each of docs (doc_id, text, key); and (sig, rep, comp) of each class of equal
+    non-empty sets: its smallest id, and the class that names its component."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     one = C.stage(first_pass(docs, n), "ngram-first")
-    rows = one.where("kind = 0").select("doc_id", "n", "sig")
+    rows = C.stage(one.where("kind = 0").select("key", "doc_id", "n", "sig"), "ngram-rows")
     counts = spark.sparkContext.broadcast(C.merge_chunks(one.where("kind = 1").select("task", "chunk", "blob"), SKETCH).astype(np.uint32))
-    classes = C.stage(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep")), "ngram-classes")
+    C.unstage(one)
+    classes = C.stage(rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.min("key").alias("key")), "ngram-classes")
     prefix = C.stage(prefixes(docs, counts, n, percent), "ngram-prefix")
-    counts.unpersist()
+    counts.destroy()
 
     shared = ends(prefix).repartition("h").groupBy("h").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo <> hi")
     bits = spark.sparkContext.broadcast(C.bloom(shared, "h", 25))
     held = C.stage(entries(prefix, bits), "ngram-held")
-    bits.unpersist()
+    bits.destroy()
     shape = C.stage(prefix.select("sig", "n", *MAPS).dropDuplicates(["sig"]), "ngram-shape")
     C.unstage(prefix)
 
@@ -275,7 +280,7 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     star = star.where(possible(F.col("n"), F.col("pos"), F.col("to.n"), F.col("to.pos"), percent))
     star = star.select(F.least("sig", "to.sig").alias("a"), F.greatest("sig", "to.sig").alias("b")).distinct()
     sided = lambda k: shape.select([F.col(c).alias(k if c == "sig" else f"{k}_{c}") for c in shape.columns])
-    star = star.join(sided("a"), "a").join(sided("b"), "b").where(near("a_", "b_", percent)).select("a", "b")
+    star = C.stage(star.join(sided("a"), "a").join(sided("b"), "b").where(near("a_", "b_", percent)).select("a", "b"), "ngram-star")
     links = verify(star, docs, classes, n, percent)
     comp = C.components(links)
 
@@ -286,32 +291,59 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     # a pair is made at its first common n-gram: each row has the earlier ones among its class's first HEADS, and a pair whose lists meet
     # was made before. Pairs that first meet beyond them may come more than once and are made distinct below
     still = C.stage(named.join(split, "h"), "ngram-still")
+    C.unstage(held, comp, named)
     heads = still.groupBy("sig").agg(F.slice(F.array_sort(F.collect_set(F.struct("pos", "h"))), 1, HEADS).alias("heads"))
     before = F.transform(F.filter("heads", lambda x: x["pos"] < F.col("pos")), lambda x: x["h"])
     open_ = C.stage(still.join(heads, "sig").withColumn("before", before).drop("heads").join(shape.drop("n"), "sig"), "ngram-open")
-    C.unstage(still)
-    C.unstage(named, held)
+    C.unstage(still, shape)
     l, r = open_.where("c <> major").alias("l"), open_.drop("major").alias("r")
     on = (F.col("l.h") == F.col("r.h")) & (F.col("l.c") != F.col("r.c")) & possible(F.col("l.n"), F.col("l.pos"), F.col("r.n"), F.col("r.pos"), percent) & near("l.", "r.", percent)
     on &= ((F.col("r.c") == F.col("l.major")) | (F.col("l.sig") < F.col("r.sig"))) & ~F.arrays_overlap("l.before", "r.before")
     cross = l.join(r, on).select(F.least("l.sig", "r.sig").alias("a"), F.greatest("l.sig", "r.sig").alias("b")).distinct()
+    # pairs in different components that the star step compared are no links
+    cross = C.stage(cross.join(star, ["a", "b"], "left_anti"), "ngram-cross")
+    C.unstage(open_, star)
     more = verify(cross, docs, classes, n, percent)
-    C.unstage(open_)
-
-    edges = links.unionByName(more)
-    edges = edges.join(classes.select(F.col("sig").alias("a"), F.col("rep").alias("u")), "a").join(classes.select(F.col("sig").alias("b"), F.col("rep").alias("v")), "b").select(F.col("u").alias("a"), F.col("v").alias("b"))
-    final = C.components(edges)
-    C.unstage(links, more)
-    named = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("sig", F.coalesce("component", "rep").alias("component_id"))
-    out = rows.join(named, "sig", "left")
+
+    final = C.components(links.unionByName(more))
+    C.unstage(links, more, cross)
+    out = C.stage(classes.join(final.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "rep", F.coalesce("component", "sig").alias("comp")), "ngram-components")
+    C.unstage(final, classes)
+    return rows, out
+
+
+def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id), a row for each row of docs (doc_id, text, ...)."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
+    rows, classes = linked(docs, n, percent)
+    least = classes.groupBy("comp").agg(F.min("rep").alias("component_id"))
+    out = rows.join(classes.join(least, "comp").select("sig", "component_id"), "sig", "left")
     own = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.cast("long").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, **kw) -> DataFrame:
-    """docs without the documents that a smaller id of their component stands for."""
-    gone = jaccard_join(docs, **kw).where("component_id <> doc_id").select("doc_id").distinct()
-    return C.without(docs, gone)
+def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one row of each component: that of the smallest id (null ids last; of one id with several texts, the one whose row hash is
+    smallest), and of rows that equal it in id and text one. Rows without words link with nothing and all stay. Rows are told by a hash of
+    id and text; only those that a fixed-size Bloom filter cannot clear are shuffled."""
+    key, mark = C.fresh(docs, "_key", "_maybe")
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    hashed = docs.withColumn(key, F.xxhash64(doc_id, text))
+    rows, classes = linked(hashed.select(doc_id.alias("doc_id"), text.alias("text"), F.col(key).alias("key")), n, percent)
+    rank = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "key")
+    named = rows.where("n > 0").groupBy("sig", "doc_id", "key").agg(F.count("*").alias("k")).join(classes, "sig")
+    best = named.groupBy("comp").agg(F.min(rank).alias("best"))
+    fate = named.join(best, "comp").select(F.col("key").alias(key), (F.col("key") == F.col("best.key")).alias("stays"), "k").where("NOT stays OR k > 1")
+    fate = C.stage(fate.groupBy(key).agg(F.max("stays").alias("stays")), "ngram-fate")
+    C.unstage(rows, classes)
+    bits = docs.sparkSession.sparkContext.broadcast(C.bloom(fate, key, 24))
+    marked = C.flagged(hashed, key, bits, mark)
+    maybe = marked.where(F.col(mark)).drop(mark)
+    free = maybe.join(fate, key, "left_anti")
+    # of equal rows that stay, one: partial aggregation leaves a row a task
+    single = maybe.join(fate.where("stays").select(key), key, "left_semi").dropDuplicates([key])
+    names = docs.columns
+    return marked.where(~F.col(mark)).select(names).unionByName(free.select(names)).unionByName(single.select(names))
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
