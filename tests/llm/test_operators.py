@@ -65,10 +65,30 @@ def test_suffixes(spark):
             if seen[b[k : k + 400]] > 1:
                 mask[k : k + 400] = True
         runs = int((mask & ~np.concatenate(([False], mask[:-1]))).sum()) if len(b) else 0
-        assert got[i] == (len(b), int(mask.sum()), runs, hashlib.sha256(np.frombuffer(b, np.uint8)[~mask].tobytes()).hexdigest()), i
+        assert got[i][:4] == (len(b), int(mask.sum()), runs, hashlib.sha256(np.frombuffer(b, np.uint8)[~mask].tobytes()).hexdigest()), i
+    for size, some in ((256, True), (96, False)):  # a repeat of 256 bytes is reported; where not even 96 bytes repeat, none is
+        seen = Counter(b[k : k + size] for b in data for k in range(len(b) - size + 1))
+        for i, b in enumerate(data):
+            if any(seen[b[k : k + size]] > 1 for k in range(len(b) - size + 1)) == some:
+                assert (got[i][4] > 0) == some, i
     assert suffixes.remove_repeats(empty(spark)).count() == 0
 
 
+def test_suffix_batches(spark):
+    """Batches that come one by one give what one call over all gives; a scan meets older batches."""
+    rows = [*texts(), prose(60), None]
+    rows += [prose(20) + " " + rows[-2] + " " + prose(20), "b" * 5000]
+    df = table(spark, rows)
+    key = lambda out: sorted(tuple(map(str, r)) for r in out.collect())
+    assert key(suffixes.remove_repeats(df, batches=1)) == key(suffixes.remove_repeats(df, batches=5))
+    family, d = suffixes.SuffixFamily(), df.selectExpr("doc_id row", "coalesce(text, '') text")
+    s = suffixes.suffix_rows(d, 400, 256).cache()
+    first = family.add(s.where("row = 0"))
+    assert first.where("whole").count() == 0 and family.add(s.where("row = 1")).where("whole").count() > 0
+    assert sorted(family.levels) == [1] and family.add(s.where("row > 1")).count() > 0 and sorted(family.levels) == [0, 1]
+    family.close()
+
+
 def test_packing(spark):
     rows = [*texts(), "<|endoftext|> İ Σ don't a.. b.,", prose(9000)]
     out = packing.pack(table(spark, rows), with_ids=True)
