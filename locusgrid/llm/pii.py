@@ -1,18 +1,24 @@
 """Personal data: four known shapes, and identifiers found by bootstrapped context patterns.
 
-The known shapes (seeds) induce patterns: the two words before an entity. Every identifier-like token (five characters or more with a
-digit) that follows some pattern is an instance. Spark scores the bipartite graph of patterns and instances in a few rounds: a
-pattern's score is the mean score of what it precedes, weighted by the evidence that it has; an instance's score is that of its best
-pattern, seeds staying at 1. Tokens after a pattern of high score and enough different seeds are new spans of the kind `id`.
+The known shapes (seeds) induce patterns: the two words before an entity, and the two after it. Every identifier-like token (`least_chars`
+characters or more with a digit, of any length) in the context of a pattern is an instance of it. Spark scores the bipartite graph of
+patterns and instances iteratively: a pattern's score is the sum of its known instances' scores over the number of all its instances
+plus 1/4; a pattern holds from `least_score` and `least_known` different known instances on; an instance that stands in a pattern that
+holds becomes known with that pattern's score (seeds have 1). Newly known instances induce further patterns wherever else they stand. Scores only
+rise, so the rounds end by themselves: when one adds neither pattern nor instance. The precision rule is the score itself: a context in
+which unknown tokens outnumber `1 - least_score` of all yields nothing. Tokens in a pattern that holds are new spans of the kind `id`.
 
 Counts are of distinct (pattern, instance) pairs over all documents. Defined cases: null and empty texts have no spans and the digest of
-the empty string; texts are scanned whole; repeated rows keep a row each; other columns are ignored.
+the empty string; texts are scanned whole, a word of any length is taken whole; an empty table gives an empty result; repeated rows keep
+a row each and count once; tokens on the threshold are taken; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from array import array
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -71,13 +77,21 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def context(text: str, start: int) -> str | None:
-    """The two words before a place, lower-cased; None if there are fewer in the last 48 characters."""
-    before = WORD.findall(text[max(0, start - 48) : start])
-    return " ".join(before[-2:]).lower() if len(before) >= 2 else None
+def contexts(text: str, spans: list[tuple[int, int]]) -> list[tuple[str | None, str | None]]:
+    """The two words before and the two after each span, lower-cased; None where there are fewer."""
+    starts, ends = array("q"), array("q")
+    for m in WORD.finditer(text) if spans else ():
+        starts.append(m.start())
+        ends.append(m.end())
+    out = []
+    for a, b in spans:
+        i, j = bisect_right(ends, a), bisect_left(starts, b)
+        word = lambda k: text[starts[k] : ends[k]]
+        out.append((f"{word(i - 2)} {word(i - 1)} <".lower() if i > 1 else None, f"> {word(j)} {word(j + 1)}".lower() if j + 1 < len(starts) else None))
+    return out
 
 
-def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+def candidates(text: str, base: list[tuple[int, int, int]], least_chars: int) -> list[tuple[int, int]]:
     """Identifier-like tokens apart from the known shapes."""
     out = []
     taken = sorted((a, b) for _, a, b in base)
@@ -88,7 +102,7 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
         b = m.end() - (len(s) - len(s.rstrip(EDGE)))
         while k < len(taken) and taken[k][1] <= a:
             k += 1
-        if b - a >= 5 and b - a <= 64 and not (k < len(taken) and taken[k][0] < b):
+        if b - a >= least_chars and not (k < len(taken) and taken[k][0] < b):
             out.append((a, b))
     return out
 
@@ -97,11 +111,19 @@ def code(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-ROWS = "row long, doc_id long, base string, n_email long, n_ip long, n_card long, n_phone long, seen array<struct<start:int,end:int,seed:int,pattern:long,instance:long>>"
+def keyed(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """docs with two columns that tell rows by id and text, under names that no column has: rows that agree in them are taken as equal."""
+    names = C.fresh(docs, "_key", "_more")
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    return docs.select("*", F.xxhash64(doc_id, text).alias(names[0]), F.hash(text, doc_id).alias(names[1])), names
+
+
+SEEN = "array<struct<start:int,end:int,seed:int,left:long,right:long,instance:long>>"
+ROWS = f"doc_id long, key long, more int, base string, n_email long, n_ip long, n_card long, n_phone long, seen {SEEN}"
 
 
-def first_pass(docs: DataFrame) -> DataFrame:
-    """Base spans of each document, and the pattern and instance of each seed and candidate in it."""
+def first_pass(docs: DataFrame, least_chars: int) -> DataFrame:
+    """Base spans of each document (doc_id, key, more, text), and the patterns and instance of each seed and candidate in it."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         base_text, counts, seen = [], [[], [], [], []], []
@@ -111,79 +133,121 @@ def first_pass(docs: DataFrame) -> DataFrame:
             base_text.append(",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in base))
             for k in range(4):
                 counts[k].append(sum(s[0] == k for s in base))
-            found = [(s, e, 1) for _, s, e in base] + [(s, e, 0) for s, e in candidates(x, base)]
-            seen.append([{"start": s, "end": e, "seed": z, "pattern": code(p), "instance": code(x[s:e])} for s, e, z in found if (p := context(x, s))])
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("seed", pa.int32()), ("pattern", pa.int64()), ("instance", pa.int64())]))
-        cols = [b.column("row"), b.column("doc_id"), pa.array(base_text, pa.string()), *[pa.array(c, pa.int64()) for c in counts], pa.array(seen, kind)]
-        return pa.RecordBatch.from_arrays(cols, names=["row", "doc_id", "base", "n_email", "n_ip", "n_card", "n_phone", "seen"])
+            found = [(s, e, 1) for _, s, e in base] + [(s, e, 0) for s, e in candidates(x, base, least_chars)]
+            around = contexts(x, [(s, e) for s, e, _ in found])
+            seen.append([{"start": s, "end": e, "seed": z, "left": p and code(p), "right": q and code(q), "instance": code(x[s:e])} for (s, e, z), (p, q) in zip(found, around, strict=True) if p or q])
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("seed", pa.int32()), ("left", pa.int64()), ("right", pa.int64()), ("instance", pa.int64())]))
+        cols = [*(b.column(c) for c in ("doc_id", "key", "more")), pa.array(base_text, pa.string()), *[pa.array(c, pa.int64()) for c in counts], pa.array(seen, kind)]
+        return pa.RecordBatch.from_arrays(cols, names=["doc_id", "key", "more", "base", "n_email", "n_ip", "n_card", "n_phone", "seen"])
 
     return docs.mapInArrow(C.by_batch(run), ROWS)
 
 
-def score_patterns(seen: DataFrame, rounds: int = 3, least_seeds: int = 3, least_score: float = 0.8) -> DataFrame:
-    """The patterns that hold at the end. seen: (pattern, instance, seed)."""
-    # only patterns that some seed follows can ever score: the graph is cut to them first
-    seeded = seen.groupBy("pattern").agg(F.max("seed").alias("any"), F.min("seed").alias("all")).where("any = 1").select("pattern")
-    graph = C.stage(seen.join(seeded, "pattern", "left_semi").groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "pii-graph")
-    seeds = graph.groupBy("pattern").agg(F.sum("seed").alias("seeds"))
-    best = graph.select("instance", F.col("seed").cast("double").alias("score")).groupBy("instance").agg(F.max("score").alias("score"))
-    for _ in range(rounds):
-        # a virtual instance of score 0 keeps patterns with little evidence down
-        pattern = graph.join(best, "instance").groupBy("pattern").agg((F.sum("score") / (F.count("*") + F.lit(0.25))).alias("weight"))
-        best = graph.join(pattern, "pattern").select("instance", F.greatest(F.col("seed").cast("double"), F.col("weight")).alias("score")).groupBy("instance").agg(F.max("score").alias("score"))
-    return pattern.join(seeds, "pattern").where((F.col("weight") >= least_score) & (F.col("seeds") >= least_seeds)).select("pattern", "weight")
+def bootstrap(graph: DataFrame, least_known: int = 3, least_score: float = 0.7) -> DataFrame:
+    """(pattern, weight) of the patterns that hold at the end, a staged table. graph: distinct (pattern, instance, seed), staged."""
+    size = C.stage(graph.groupBy("pattern").agg(F.count("*").alias("n"), F.max("seed").alias("seed")), "pii-size")
+    seeds = graph.where("seed = 1").select("instance", F.lit(1.0).alias("score")).distinct()
+    known, had = seeds, (0, 0)
+    good = None
+    while True:
+        score = graph.join(known, "instance").groupBy("pattern").agg(F.sum("score").alias("s"), F.count("*").alias("k")).join(size, "pattern")
+        more = C.stage(score.select("pattern", "k", (F.col("s") / (F.col("n") + F.lit(0.25))).alias("weight")).where((F.col("weight") >= least_score) & (F.col("k") >= least_known)), "pii-patterns")
+        C.unstage(*[x for x in (good, known) if x is not None])
+        good = more
+        found = graph.join(good, "pattern").select("instance", F.col("weight").alias("score"))
+        known = C.stage(seeds.unionByName(found).groupBy("instance").agg(F.max("score").alias("score")), "pii-known")
+        have = (good.count(), known.count())
+        if have == had:
+            C.unstage(known, size)
+            return good.select("pattern", "weight")
+        had = have
+
+
+def find(docs: DataFrame, least_chars: int = 5, **kw) -> tuple[DataFrame, DataFrame]:
+    """Staged tables: (doc_id, key, more, counts, base) of each row of docs (doc_id, key, more, text), base being its spans as text, and
+    (key, more, found): array<struct<start, end>> of the new identifiers of each different row that has some."""
+    one = C.stage(first_pass(docs, least_chars), "pii-rows")
+    seen = one.select("key", "more", F.explode("seen").alias("x")).select("key", "more", "x.*")
+    both = F.explode(F.filter(F.array("left", "right"), lambda p: p.isNotNull())).alias("pattern")
+    graph = C.stage(seen.select(both, "instance", "seed").groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "pii-graph")
+    good = bootstrap(graph, **kw)
+    new = seen.where("seed = 0").select("key", "more", "start", "end", both).join(good.select("pattern"), "pattern", "left_semi")
+    new = C.stage(new.groupBy("key", "more").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("found")), "pii-found")
+    C.unstage(graph, good)
+    return one, new
+
 
+def as_text(found: str):
+    return F.array_join(F.transform(found, lambda s: F.concat_ws(":", F.lit("id"), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
-def find(docs: DataFrame, **kw) -> DataFrame:
-    """row-wise result: doc_id, counts, base (text of spans) and found: array<struct<start, end>> of new identifiers."""
-    d = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    one = C.stage(first_pass(d), "pii-rows")
-    seen = one.select("row", F.explode("seen").alias("x")).select("row", "x.*")
-    good = score_patterns(seen.select("pattern", "instance", "seed"), **kw)
-    new = seen.where("seed = 0").join(good.select("pattern"), "pattern", "left_semi")
-    new = new.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("found"))
-    return one.drop("seen").join(new, "row", "left")
+
+def joined(one: DataFrame, new: DataFrame) -> DataFrame:
+    """Rows with `spans`, all their spans as text."""
+    spans = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.when(F.size("found") > 0, as_text("found")))
+    return one.drop("seen").join(new, ["key", "more"], "left").withColumn("spans", spans)
+
+
+def named(docs: DataFrame) -> DataFrame:
+    full, (key, more) = keyed(docs.select("doc_id", "text"))
+    return full.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(key).alias("key"), F.col(more).alias("more"), F.col("text").cast("string").alias("text"))
 
 
 def report(docs: DataFrame, **kw) -> DataFrame:
-    df = find(docs, **kw)
-    more = F.array_join(F.transform("found", lambda s: F.concat_ws(":", F.lit("id"), s["start"].cast("string"), s["end"].cast("string"))), ",")
-    spans = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.when(F.size("found") > 0, more))
-    return df.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.coalesce(F.size("found"), F.lit(0)).cast("long").alias("n_id"), F.sha2("base", 256).alias("base_sha256"), spans.alias("spans"))
+    """doc_id, counts by kind, digest of the known shapes, all spans as text and their number."""
+    df = joined(*find(named(docs), **kw))
+    n_id = F.greatest(F.coalesce(F.size("found"), F.lit(0)), F.lit(0)).cast("long")
+    total = F.col("n_email") + F.col("n_ip") + F.col("n_card") + F.col("n_phone") + n_id
+    return df.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", n_id.alias("n_id"), total.alias("n_spans"), F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+def cover(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Overlapping spans as one, of the kind of the longest (the first by kind among equals)."""
+    order = (*KINDS, "id")
+    out: list[tuple[int, int, str, int]] = []
+    for s, e, k in sorted(spans, key=lambda x: (x[0], x[1], order.index(x[2]))):
+        if out and s < out[-1][1]:
+            a, z, kind, size = out[-1]
+            better = e - s > size or (e - s == size and order.index(k) < order.index(kind))
+            out[-1] = (a, max(z, e), k if better else kind, max(size, e - s))
+        else:
+            out.append((s, e, k, e - s))
+    return [x[:3] for x in out]
 
 
 def redact(docs: DataFrame, **kw) -> DataFrame:
-    """docs with each span replaced by its kind in brackets; n_chars follows if there is such a column. Spans meet the texts again by the
-    hash of id and text, and only documents with spans move: rows with a null id and rows that repeat an id with another text each get
-    the spans of their own text. Rows equal in both share their spans, which follow from the text alone."""
+    """docs with each span, overlapping ones as one, replaced by its kind in brackets; n_chars follows if there is such a column. Spans meet
+    the texts again by hashes of id and text, and only documents with spans move: rows with a null id and rows that repeat an id with
+    another text each get the spans of their own text. Rows equal in both share their spans, which follow from the text alone."""
     from pyspark.sql import types as T
 
-    docs = docs.select("*", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("_key"))
-    found = find(docs.select(F.col("_key").alias("doc_id"), "text"), **kw)
-    where = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.array_join(F.transform("found", lambda s: F.concat_ws(":", F.lit("id"), s["start"].cast("string"), s["end"].cast("string"))), ","))
-    marks = found.select(F.col("doc_id").alias("_key"), where.alias("_spans")).where("_spans <> ''").groupBy("_key").agg(F.max("_spans").alias("_spans"))
-    names, schema = docs.columns[:-1], T.StructType(docs.schema.fields[:-1])
+    full, (key, more) = keyed(docs)
+    mark, spans = C.fresh(docs, "_maybe", "_spans")
+    one, new = find(named(docs), **kw)
+    marks = joined(one, new).where("spans <> ''").groupBy(F.col("key").alias(key), F.col("more").alias(more)).agg(F.max("spans").alias(spans))
+    marks = C.stage(marks, "pii-marks")
+    C.unstage(one, new)
+    bits = docs.sparkSession.sparkContext.broadcast(C.bloom(marks, key, 24))
+    names, schema = docs.columns, docs.schema
 
     def run(t: pa.RecordBatch) -> pa.RecordBatch:
         texts = []
-        for x, spans in zip(t.column("text").to_pylist(), t.column("_spans").to_pylist(), strict=True):
+        for x, marked in zip(t.column("text").to_pylist(), t.column(spans).to_pylist(), strict=True):
+            if x is None or not marked:
+                texts.append(x)
+                continue
             parts, at = [], 0
-            todo = sorted((int(s), int(e), k) for k, s, e in (p.split(":") for p in (spans or "").split(",") if p))
-            for s, e, k in todo:
-                if x is not None and s >= at:
-                    parts += [x[at:s], f"[{k.upper()}]"]
-                    at = e
-            texts.append(x if x is None else "".join(parts) + x[at:])
-        cols = [pa.array(texts, pa.string()) if n == "text" else t.column(n) for n in t.schema.names if n != "_spans"]
-        return pa.RecordBatch.from_arrays(cols, names=[n for n in t.schema.names if n != "_spans"])
-
-    marks = C.stage(marks, "pii-marks")
-    bits = docs.sparkSession.sparkContext.broadcast(C.bloom(marks, "_key", 24))
-    split = C.flagged(docs, "_key", bits)
+            for s, e, k in cover([(int(s), int(e), k) for k, s, e in (p.split(":") for p in marked.split(","))]):
+                parts += [x[at:s], f"[{k.upper()}]"]
+                at = e
+            texts.append("".join(parts) + x[at:])
+        cols = [pa.array(texts, pa.string()) if n == "text" else t.column(n) for n in names]
+        return pa.RecordBatch.from_arrays(cols, names=names)
+
+    split = C.flagged(full, key, bits, mark)
     # a shuffled join keeps the two Python steps in stages of their own: in one, each task would hold two workers
-    touched = split.where("_maybe").drop("_maybe").join(marks.hint("merge"), "_key", "left").select(*names, "_spans").mapInArrow(C.by_batch(run), schema)
-    out = split.where("NOT _maybe").select(*names).unionByName(touched)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    touched = split.where(F.col(mark)).join(marks.hint("merge"), [key, more], "left").select(*names, spans).mapInArrow(C.by_batch(run), T.StructType(schema.fields))
+    out = split.where(~F.col(mark)).select(*names).unionByName(touched)
+    return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in names else out
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
