@@ -1,16 +1,18 @@
 """Best-fit packing of tokenised documents into sequences of at most `limit` tokens.
 
-Documents over the limit are cut into full pieces and a rest. Packing is bulk-synchronous over lengths, which are whole numbers up to the
-limit:
+Documents over the limit are cut into full pieces and a rest. Packing is bulk-synchronous:
 
 1. Pieces are range-sorted by (length, document, piece) and ranked within their length: local ranks per range partition, plus the
    counts of earlier partitions for that length (a table of partitions + lengths rows at most).
-2. The state of the sweep is the number of pieces of each length and the runs of sequences of each gap, at most `limit` of each however
-   large the corpus. Lengths are swept from long to short. A superstep takes all pieces of one length to their successor, the smallest
-   gap that holds them; where many want the same gap, the rank decides who gets which sequence of the run; the gaps shrink by what was
-   placed, and the sweep goes on with what is left. This is best-fit decreasing, exactly, for all pieces of a length at once.
-3. Each superstep is one row of a plan (length, first rank, sequences, pieces per sequence, offset), by which every piece finds its
-   place from its length and rank in parallel.
+2. The state is a Spark table of runs: of pieces of one length with successive ranks, and of sequences of one gap with successive numbers.
+   As lengths are whole numbers up to the limit, it stays that small however large the corpus.
+3. A superstep range-sorts lengths and gaps together and sweeps each range from large to small: a piece takes its successor, the smallest
+   gap before it that is still free; where several want one, the rank decides. What a range leaves over is swept once more together; as
+   in the matching of brackets, matches inside a range are those of the whole. Where pieces outnumber all gaps that are left, a gap takes
+   several. Then gaps shrink by what was placed. Where open gaps cannot hold the pieces left, the longest of these open as many new
+   sequences as their tokens need beyond the gaps; where few found a gap, an eighth of those that the rest would fill.
+4. Supersteps repeat until all is placed, some ten to fifty times. Their rows (length, first rank, pieces per sequence, sequences, offset)
+   are the plan by which every piece finds its place from its length and rank in parallel.
 
 Defined cases: null and empty texts are one token (the end id); very long texts are tokenised whole in slices at white space; repeated
 rows are pieces of their own; an empty table gives an empty result; other columns are ignored.
@@ -18,7 +20,6 @@ rows are pieces of their own; an empty table gives an empty result; other column
 
 from __future__ import annotations
 
-import bisect
 import json
 import string
 import zlib
@@ -222,43 +223,100 @@ def ranked(pieces: DataFrame) -> DataFrame:
     return parts.mapInArrow(run, f"{kinds}, part int, local long")
 
 
-def plan(counts: dict[int, int], limit: int = LIMIT) -> list[tuple[int, int, int, int, int, int]]:
-    """Best-fit decreasing over counts of lengths: rows (length, first rank, pieces per sequence, pieces, first sequence, offset)."""
-    rows, fresh = [], 0
-    gaps: list[int] = []  # sorted gap sizes in use
-    runs: dict[int, list[tuple[int, int]]] = {}  # gap -> runs of sequences (first, how many)
-
-    def put(gap: int, first: int, n: int) -> None:
-        if n and gap:
-            if gap not in runs:
-                bisect.insort(gaps, gap)
-                runs[gap] = []
-            runs[gap].append((first, n))
-
-    for length in sorted(counts, reverse=True):
-        left, rank = counts[length], 0
-        while left:
-            k = bisect.bisect_left(gaps, length)
-            if k < len(gaps):
-                gap = gaps[k]
-                first, n = runs[gap].pop()
-                if not runs[gap]:
-                    del runs[gap]
-                    gaps.pop(k)
+GAP, PIECES, PLACED, NEXT = range(4)  # kinds of rows; NEXT: the number that the next new sequence gets, and how many have a gap
+STATE = "kind int, size long, first long, n long, per long, gap long, seq long"
+#: A superstep that places less than a tenth of what is left opens an eighth of the sequences that the rest would fill.
+SLOW, STEP = 10, 8
+
+
+def matched(rows: list[tuple[int, ...]], supply: int) -> tuple[list[tuple[int, ...]], list[list[int]], list[list[int]]]:
+    """(placed, pieces left, gaps left) of a sweep from large to small; rows: (kind, size, first, n), gaps before pieces of their size; supply:
+    the number of gaps in all ranges."""
+    placed, left, free = [], [], []
+    for kind, size, first, n in rows:
+        if kind == GAP:
+            free.append([size, first, n])
+            continue
+        while n and free:
+            gap, seq, m = free[-1]
+            per = max(1, min(gap // size, n // supply))
+            t = min(n // per, m)
+            placed.append((size, first, t, per, gap, seq))
+            first, n = first + t * per, n - t * per
+            if t == m:
+                free.pop()
             else:
-                gap, first, n = limit, fresh, -(-left // (limit // length))
-                fresh += n
-            per = gap // length  # after one piece the rest of the gap is the closest fit again
-            full = min(n, left // per)
-            rows.append((length, rank, per, full * per, first, limit - gap))
-            put(gap - per * length, first, full)
-            rank, left, used = rank + full * per, left - full * per, full
-            if full < n and left and left < per:
-                rows.append((length, rank, left, left, first + full, limit - gap))
-                put(gap - left * length, first + full, 1)
-                rank, left, used = rank + left, 0, full + 1
-            put(gap, first + used, n - used)
-    return [r for r in rows if r[3]]
+                free[-1] = [gap, seq + t, m - t]
+        if n:
+            left.append([size, first, n])
+    return placed, left, free
+
+
+def state_rows(rows: list[tuple[int, ...]]) -> pa.RecordBatch:
+    names = [x.split()[0] for x in STATE.split(", ")]
+    cols = list(zip(*rows, strict=True)) if rows else [()] * 7
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 0 else pa.int64()) for k, c in enumerate(cols)], names=names)
+
+
+def taken(batches: Iterator[pa.RecordBatch]) -> list[tuple[int, ...]]:
+    return [r for b in batches for r in zip(*(b.column(k).to_pylist() for k in range(7)), strict=True)]
+
+
+def swept(supply: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The sweep of one range."""
+        rows = taken(batches)
+        placed, left, free = matched([r[:4] for r in rows if r[0] != NEXT], supply)
+        out = [(PLACED, *p) for p in placed] + [(PIECES, *x, 0, 0, 0) for x in left] + [(GAP, *x, 0, 0, 0) for x in free]
+        yield state_rows(out + [r for r in rows if r[0] == NEXT])
+
+    return run
+
+
+def settled(limit: int, supply: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The sweep of what the ranges left, new sequences, and the shrunken gaps. In order of size."""
+        rows = taken(batches)
+        more, left, free = matched([r[:4] for r in rows if r[0] in (GAP, PIECES)], supply)
+        placed = [r[1:] for r in rows if r[0] == PLACED] + more
+        fresh = sum(r[2] for r in rows if r[0] == NEXT)
+        gaps = [*free, *([gap - per * size, seq, n] for size, _, n, per, gap, seq in placed if gap > per * size)]
+        need, room = sum(x[0] * x[2] for x in left), sum(x[0] * x[2] for x in gaps)
+        found, open_ = sum(p[2] * p[3] for p in placed), sum(x[2] for x in left)
+        new = -(-(need - room) // limit) if need > room else 0 if found * SLOW >= open_ else max(1, -(-need // limit) // STEP)
+        for x in left:  # longest first
+            t = min(new, x[2])
+            if t:
+                placed.append((x[0], x[1], t, 1, limit, fresh))
+                if limit > x[0]:
+                    gaps.append([limit - x[0], fresh, t])
+                new, fresh = new - t, fresh + t
+                x[1], x[2] = x[1] + t, x[2] - t
+        out = [(PLACED, *p) for p in placed] + [(PIECES, *x, 0, 0, 0) for x in left if x[2]] + [(GAP, *x, 0, 0, 0) for x in gaps]
+        yield state_rows([*out, (NEXT, 0, fresh, sum(x[2] for x in gaps), 0, 0, 0)])
+
+    return run
+
+
+def plan(counts: dict[int, int], spark, limit: int = LIMIT) -> list[tuple[int, ...]]:
+    """Rows (length, first rank, sequences, pieces per sequence, gap, first sequence) that place counts[length] pieces of each length."""
+    state = spark.createDataFrame([(PIECES, k, 0, n, 0, 0, 0) for k, n in counts.items()] + [(NEXT, 0, 0, 0, 0, 0, 0)], STATE)
+    order = [F.col("size").desc(), "kind", "first"]
+    rows: list[tuple[int, ...]] = []
+    supply = 0
+    while True:
+        ranges = state.repartitionByRange(F.col("size").desc()).sortWithinPartitions(*order).mapInArrow(swept(supply), STATE)
+        step = C.stage(ranges.coalesce(1).sortWithinPartitions(*order).mapInArrow(settled(limit, supply), STATE), "pack-step")
+        C.unstage(state)
+        # what a superstep placed, by lengths and gaps, and the number of gaps
+        got = step.where(F.col("kind").isin(PLACED, NEXT)).select("kind", "size", "first", "n", "per", "gap", "seq").collect()
+        rows += [tuple(r)[1:] for r in got if r[0] == PLACED]
+        supply = sum(r[3] for r in got if r[0] == NEXT)
+        if sum(r[2] * r[3] for r in rows) == sum(counts.values()):
+            C.unstage(step)
+            return sorted(rows)
+        state = step.where(F.col("kind") != PLACED)
+        state._staged = step._staged
 
 
 def pack(docs: DataFrame, path: str | None = None, limit: int = LIMIT, with_ids: bool = False) -> DataFrame:
@@ -275,7 +333,7 @@ def pack(docs: DataFrame, path: str | None = None, limit: int = LIMIT, with_ids:
     for length, part, n in sorted((r[0], r[1], r[2]) for r in here):
         before[length, part] = counts.get(length, 0)
         counts[length] = counts.get(length, 0) + n
-    rows = sorted(plan(counts, limit))
+    rows = plan(counts, spark, limit) if counts else []
     arrays = [np.array(c, np.int64) for c in zip(*rows, strict=True)] if rows else [np.zeros(0, np.int64)] * 6
     keys = sorted(before)
     base = (np.array([a * (1 << 32) + p for a, p in keys], np.int64), np.array([before[k] for k in keys], np.int64))
@@ -284,7 +342,7 @@ def pack(docs: DataFrame, path: str | None = None, limit: int = LIMIT, with_ids:
     def run(b: pa.RecordBatch) -> pa.RecordBatch | None:
         if not b.num_rows:
             return None
-        (length, rank, per, _, first, offset), (keys, counts) = shared.value
+        (length, rank, _, per, gap, first), (keys, counts) = shared.value
         n, part, local = (b.column(c).to_numpy().astype(np.int64) for c in ("length", "part", "local"))
         r = local + counts[np.searchsorted(keys, n * (1 << 32) + part)]
         # rows are sorted by (length, rank): the last row at or before
@@ -292,7 +350,7 @@ def pack(docs: DataFrame, path: str | None = None, limit: int = LIMIT, with_ids:
         k = np.searchsorted(length * big + rank, n * big + r, "right") - 1
         q = r - rank[k]
         names = [c for c in b.schema.names if c not in ("part", "local", "ids")]
-        cols = [b.column(c) for c in names] + [pa.array(first[k] + q // per[k]), pa.array(offset[k] + (q % per[k]) * n)]
+        cols = [b.column(c) for c in names] + [pa.array(first[k] + q // per[k]), pa.array(limit - gap[k] + (q % per[k]) * n)]
         more = ["ids"] if with_ids else []
         return pa.RecordBatch.from_arrays(cols + [b.column(c) for c in more], names=[*names, "sequence_id", "offset", *more])
 

@@ -91,6 +91,9 @@ def test_suffix_batches(spark):
 
 def test_packing(spark):
     rows = [*texts(), "<|endoftext|> İ Σ don't a.. b.,", prose(9000)]
+    rng = np.random.default_rng(3)  # any mixture of letters, marks, punctuation, white space and special tokens
+    pool = [*"abZ09.,;:!?'\"()-_ \n\t", "é", "e\u0301", "ß", "Σ", "İ", "\u200d", "\u00a0", "中", "한", "🙂", "\U0001f468\u200d\U0001f469", "<|endoftext|>", "<|", "'s ", "\uf8ff", "ﬁ", "\x00"]
+    rows += ["".join(pool[i] for i in rng.integers(0, len(pool), rng.integers(1, 120))) for _ in range(300)]
     out = packing.pack(table(spark, rows), with_ids=True)
     tok = packing.WordIds(packing.tokenizer_path()).tok
     got, by = {}, {}
@@ -113,18 +116,31 @@ def test_packing(spark):
     assert packing.pack(empty(spark)).count() == 0
 
 
-def test_plan_is_best_fit():
+def test_plan(spark):
+    """Places are free and whole; no more sequences than sequential best-fit decreasing needs, but for a twentieth."""
     rng = np.random.default_rng(1)
-    lengths = rng.integers(1, 60, 500).tolist()
-    rows = packing.plan(dict(Counter(lengths)), 64)
-    gaps = []
-    for n in sorted(lengths, reverse=True):
-        fit = min((g for g in gaps if g >= n), default=None)
-        if fit is not None:
-            gaps.remove(fit)
-        gaps.append((fit or 64) - n)
-    used = max(first + -(-k // per) for _, _, per, k, first, _ in rows)
-    assert used == len(gaps)
+    for lengths, limit in ((rng.integers(1, 60, 500).tolist(), 64), ([10] * 5000, 4096), ([4096] * 3 + [1] * 9, 4096), (np.minimum(rng.lognormal(5, 1.5, 3000).astype(int) + 1, 4096).tolist(), 4096)):
+        rows = packing.plan(dict(Counter(lengths)), spark, limit)
+        placed, used = Counter(), {}
+        for size, first, n, per, gap, seq in rows:
+            assert first == placed[size]
+            placed[size] += n * per
+            for k in range(seq, seq + n):
+                used.setdefault(k, []).append((limit - gap, per * size))
+        assert placed == Counter(lengths) and sorted(used) == list(range(len(used)))
+        for x in used.values():
+            at = 0
+            for o, k in sorted(x):
+                assert o == at
+                at += k
+            assert at <= limit
+        gaps = []
+        for n in sorted(lengths, reverse=True):
+            fit = min((g for g in gaps if g >= n), default=None)
+            if fit is not None:
+                gaps.remove(fit)
+            gaps.append((fit or limit) - n)
+        assert len(used) <= len(gaps) * 1.05 + 1
 
 
 def test_embeddings(spark):
