@@ -155,7 +155,7 @@ class SuffixFamily:
         for other in self.levels.values():
             every = every.unionByName(other.withColumn("new", F.lit(False)))
         every = every.groupBy(NAME).agg(F.sum("k").alias("k"), F.max("new").alias("new"))
-        met = every.groupBy("grain").agg(F.sum("k").alias("n"), F.count("x").alias("contexts"), F.max("new").alias("new")).where("new AND n > 1").select("grain", "contexts")
+        met = every.groupBy("grain").agg(F.sum("k").alias("n"), F.count("x").alias("contexts"), F.max("new").alias("new")).where("new AND n > 1").select("grain", "contexts").hint("rebalance")  # so that Spark can split a hot grain in the join
         hits = every.join(met, "grain").select(*NAME, (F.col("x").isNotNull() & (F.col("k") > 1)).alias("whole"), (F.col("x").isNotNull() & (F.col("contexts") > 1)).alias("part"))
         hits = C.stage(hits, "suffix-hits")
         self.hits.append(hits)
