@@ -8,11 +8,13 @@ c log2 c are updated by the character that enters and the one that leaves, and t
 threshold. Candidates of the allow list, and those that touch a known shape, are left out.
 
 Defined cases: null and empty texts have no spans and the digest of the empty string; any length is scanned whole; other columns stay out
-of the result; repeated rows keep a row each.
+of the result; repeated rows keep a row each; an empty table gives an empty result; a window at the class's threshold is taken.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,26 +34,42 @@ ALLOW = [r"(?i)example|sample|placeholder|dummy|changeme", r"^[0-9a-fA-F]{8}-[0-
 ORDER = {"assign": 0, "access": 1, "hex": 2, "entropy": 3}
 
 
+BITS_EACH, PER_LONG = 6, 10  # counters of the window's characters, ten to a long
+LONGS = -(-(len(ALPHABET) + 1) // PER_LONG)
+
+
 def peak_entropy(text: Column, window: int = 20) -> Column:
-    """The highest Shannon entropy, in bits, of any `window` successive characters; the whole string's if it is shorter."""
-    table = F.array(*[F.lit(0.0 if c < 2 else c * __import__("math").log2(c)) for c in range(window + 2)])
-    zeros = F.array_repeat(F.lit(0), len(ALPHABET) + 1)
+    """The highest Shannon entropy, in bits, of any `window` successive characters (63 at most); the whole string's if it is shorter. A step
+    adds one to the counter of the character that enters and takes one from that of the one that leaves."""
+    if not 1 <= window < 1 << BITS_EACH:
+        raise ValueError("window must lie between 1 and 63")
+    table = F.array(*[F.lit(0.0 if c < 2 else c * math.log2(c)) for c in range(window + 2)])
+    place = lambda code: ((code % PER_LONG) * BITS_EACH).cast("int")
+    number = lambda code: F.floor(code / PER_LONG).cast("int")
+
+    def count(acc: Column, code: Column) -> Column:
+        held = acc["n0"]
+        for k in range(1, LONGS):
+            held = F.when(number(code) == k, acc[f"n{k}"]).otherwise(held)
+        return F.call_function("shiftright", held, place(code)).bitwiseAND(F.lit((1 << BITS_EACH) - 1)).cast("int")
 
     def walk(letters: Column) -> Column:
         def step(acc: Column, i: Column) -> Column:
             enter = letters[i]
-            leave = F.when(i >= window, letters[F.greatest(i - window, F.lit(0))]).otherwise(F.lit(-1))
-            return let(F.struct(enter.alias("in"), leave.alias("out")), lambda x: moved(acc, x, i))
+            leave = F.when(i >= window, letters[F.greatest(i - window, F.lit(0))]).otherwise(enter)
+            return let(F.struct(enter.alias("in"), leave.alias("out"), count(acc, enter).alias("c_in"), count(acc, leave).alias("c_out")), lambda x: moved(acc, x, i))
 
         def moved(acc: Column, x: Column, i: Column) -> Column:
-            c_in = acc["n"][x["in"]]
-            same = x["in"] == x["out"]
-            c_out = F.when(x["out"] >= 0, acc["n"][F.greatest(x["out"], F.lit(0))]).otherwise(F.lit(1))
-            s = F.when(same, acc["s"]).otherwise(acc["s"] + table[c_in + 1] - table[c_in] + F.when(x["out"] >= 0, table[c_out - 1] - table[c_out]).otherwise(F.lit(0.0)))
-            n = F.transform(acc["n"], lambda v, k: v + F.when(k == x["in"], 1).otherwise(0) - F.when(k == x["out"], 1).otherwise(0))
-            return let(s, lambda t: F.struct(n.alias("n"), t.alias("s"), F.when(i >= window - 1, F.least(acc["low"], t)).otherwise(acc["low"]).alias("low")))
-
-        start = F.struct(zeros.alias("n"), F.lit(0.0).alias("s"), F.lit(1e18).alias("low"))
+            one = lambda code: F.call_function("shiftleft", F.lit(1).cast("long"), place(code))
+            full = i >= window
+            gain = table[x["c_in"] + 1] - table[x["c_in"]]
+            loss = F.when(full, table[x["c_out"]] - table[F.greatest(x["c_out"] - 1, F.lit(0))]).otherwise(F.lit(0.0))
+            s = F.when(full & (x["in"] == x["out"]), acc["s"]).otherwise(acc["s"] + gain - loss)
+            nil = F.lit(0).cast("long")
+            n = [(acc[f"n{k}"] + F.when(number(x["in"]) == k, one(x["in"])).otherwise(nil) - F.when(full & (number(x["out"]) == k), one(x["out"])).otherwise(nil)).alias(f"n{k}") for k in range(LONGS)]
+            return let(s, lambda t: F.struct(*n, t.alias("s"), F.when(i >= window - 1, F.least(acc["low"], t)).otherwise(acc["low"]).alias("low")))
+
+        start = F.struct(*[F.lit(0).cast("long").alias(f"n{k}") for k in range(LONGS)], F.lit(0.0).alias("s"), F.lit(1e18).alias("low"))
         end = F.aggregate(F.sequence(F.lit(0), F.size(letters) - 1), start, step)
         size = F.least(F.size(letters), F.lit(window)).cast("double")
         return let(end, lambda e: F.log2(size) - F.when(F.size(letters) >= window, e["low"]).otherwise(e["s"]) / size)
@@ -108,7 +126,7 @@ def report(docs: DataFrame, **kw) -> DataFrame:
     df = scan(docs, **kw)
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     both = F.array_sort(F.concat("base", "found"))
-    return df.select("doc_id", count("assign"), count("access"), count("hex"), F.size("found").cast("long").alias("n_entropy"), F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(both).alias("spans"))
+    return df.select("doc_id", count("assign"), count("access"), count("hex"), F.size("found").cast("long").alias("n_entropy"), F.size(both).cast("long").alias("n_spans"), F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(both).alias("spans"))
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
