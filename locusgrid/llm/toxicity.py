@@ -8,7 +8,8 @@ documents, the first by a hash of their id, on the driver; the flag's cut on the
 part of them. Scoring reads every whole text.
 
 Defined cases: null and empty texts have no features and are scored by the thresholds alone; repeated rows keep a row each; null ids
-pass; without labels of both kinds nothing is flagged; a document with several labels counts as the worst of them.
+pass like all others; without labels of both kinds, or with an empty table, nothing is flagged; a document with several labels counts as the
+worst of them; severities at the cut are flagged; very long texts are scored whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from locusgrid.llm import common as C
 
 SAMPLE = 20_000  # labelled documents that the fit may use
-BUCKETS = 1 << 20  # counters by which features are told apart before they go to the driver
+LEAST_DOCS, LEAST_SHARE = 5, 0.85  # toxic documents that have a feature, and their share of those that have it
 STEMS = (4, 5, 6, 7, 8)  # bytes
 SPLIT = C.separators((0, 47), (58, 64), (91, 96), (123, 127))
 
@@ -94,14 +95,14 @@ def cover(x_doc: np.ndarray, col: np.ndarray, pure: np.ndarray, positive: np.nda
     return pure[np.array(sorted(out), np.int64)]
 
 
-def fit(x_doc: np.ndarray, x_word: np.ndarray, grades: np.ndarray, n_grades: int = 3, least_z: float = 5.0, least_docs: int = 5, least_share: float = 0.85, steps: int = 400, l2: float = 1e-3) -> Ordinal:
-    """x_doc, x_word: which document has which word (once). A third of the documents is held out for the cut."""
+def fit(x_doc: np.ndarray, x_word: np.ndarray, grades: np.ndarray, n_grades: int = 3, held: np.ndarray | None = None, least_z: float = 5.0, least_docs: int = LEAST_DOCS, least_share: float = LEAST_SHARE, steps: int = 400, l2: float = 1e-3) -> Ordinal:
+    """x_doc, x_word: which document has which word (once). The documents marked in held are kept out of the fit, for the cut."""
     model = Ordinal()
     n = len(grades)
     bad = grades > 0
     if n < 10 or not bad.any() or bad.all():
         return model
-    held = (C.mix(np.arange(n, dtype=np.uint64)) % np.uint64(3)) == 0
+    held = np.zeros(n, bool) if held is None else held
     train = ~held
     words, col = np.unique(x_word, return_inverse=True)
     use = train[x_doc]
@@ -147,62 +148,71 @@ def fit(x_doc: np.ndarray, x_word: np.ndarray, grades: np.ndarray, n_grades: int
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
-    """The model of a bounded sample: at most `sample` labelled documents, their word hashes and grades come to the driver."""
+    """The model of a bounded sample: at most `sample` labelled documents. A third of them, by a hash of their ids, is held out. Spark counts
+    each feature exactly over the rest; only the features that can pass come to the driver, with the grades of the documents that have them."""
+    spark = docs.sparkSession
     toxic = F.coalesce(F.col("toxic"), F.lit(0)) > 0
     grade = F.when(toxic & (F.coalesce(F.col("quality"), F.lit(1)) == 0), 2).when(toxic, 1).otherwise(0)
     some = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(grade).alias("grade"))
-    some = C.stage(some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "tox-sample")
+    some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).withColumn("held", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)) == 0)
+    some = C.stage(some, "tox-sample")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id")  # `sample` rows at most
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        grades = b.column("grade")
         for at, offs, data in C.string_slices(b.column("text")):
             h, doc = text_features(offs, data)
             cut = np.searchsorted(doc, np.arange(len(offs)))
-            blobs = [np.unique(h[cut[i] : cut[i + 1]]).tobytes() for i in range(len(offs) - 1)]
-            yield pa.RecordBatch.from_arrays([grades.slice(at, len(blobs)), pa.array(blobs, pa.binary())], names=["grade", "words"])
+            sets = [np.unique(h[cut[i] : cut[i + 1]]).view(np.int64) for i in range(len(offs) - 1)]
+            words = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in sets]))), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
+            yield pa.RecordBatch.from_arrays([*(b.column(c).slice(at, len(sets)) for c in ("grade", "held")), words], names=["grade", "held", "words"])
 
     def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield from run(b)
 
-    rows = text.select("doc_id", "grade", "text").mapInArrow(flat, "grade int, words binary")
-    kept = C.stage(rows, "tox-words")
-    # counts by feature bucket, of fixed size, tell which features can pass; only those come to the driver
-    sums = C.merge_chunks(C.stage(kept.mapInArrow(bucket_counts, "task long, chunk int, blob binary"), "tox-counts"), 2 * BUCKETS).astype(np.float64)
-    seen, hit = sums[:BUCKETS], sums[BUCKETS:]
-    rate = docs.sparkSession.sparkContext.broadcast((hit >= 5) & (hit >= 0.6 * seen))
+    kept = C.stage(text.select("grade", "held", "text").mapInArrow(flat, "grade int, held boolean, words array<bigint>"), "tox-words")
+    fitted = kept.where("NOT held")
+    hits = fitted.where("grade > 0").select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("hit")).where(F.col("hit") >= LEAST_DOCS)
+    hits = C.stage(hits, "tox-hits")
+    known = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in hits.select("w").collect()], np.int64)))  # bounded by the sample's features
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """How many documents of a task have each of the features that enough toxic ones have."""
+        w = known.value
+        n = np.zeros(len(w) + 1, np.int64)
+        for b in batches:
+            n += np.bincount(member(w, b.column(0).flatten().to_numpy()), minlength=len(w) + 1)
+        some = np.flatnonzero(n[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(w[some]), pa.array(n[some])], names=["w", "n"])
+
+    counts = fitted.select("words").mapInArrow(seen, "w long, n long").groupBy("w").agg(F.sum("n").alias("seen"))
+    passing = counts.join(hits, "w").where(F.col("hit") >= F.lit(LEAST_SHARE) * F.col("seen")).select("w")
+    pure = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in passing.collect()], np.int64)))
 
     def thin(b: pa.RecordBatch) -> pa.RecordBatch:
         blobs = []
         for x in b.column("words"):
-            w = np.frombuffer(x.as_buffer(), np.uint64)
-            blobs.append(w[rate.value[(w & np.uint64(BUCKETS - 1)).astype(np.int64)]].tobytes())
-        return pa.RecordBatch.from_arrays([b.column("grade"), pa.array(blobs, pa.binary())], names=["grade", "words"])
-
-    got = kept.mapInArrow(C.by_batch(thin), "grade int, words binary").collect()  # `sample` rows at most
-    C.unstage(some, kept)
+            v = x.values.to_numpy()
+            blobs.append(v[member(pure.value, v) < len(pure.value)].tobytes())
+        return pa.RecordBatch.from_arrays([b.column("grade"), b.column("held"), pa.array(blobs, pa.binary())], names=["grade", "held", "words"])
+
+    got = kept.mapInArrow(C.by_batch(thin), "grade int, held boolean, words binary").collect()  # `sample` rows at most
+    C.unstage(some, kept, hits)
+    known.destroy()
+    pure.destroy()
     if not got:
         return Ordinal()
-    got = sorted((bytes(r[1]), r[0]) for r in got)  # the same model however the rows arrive
-    sets = [np.frombuffer(w, np.uint64) for w, _ in got]
-    return fit(np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate(sets), np.array([g for _, g in got]))
-
-
-def bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many sampled documents, and how many toxic ones, have a feature of each bucket."""
-    from pyspark import TaskContext
-
-    n = np.zeros(2 * BUCKETS, np.int64)
-    for b in batches:
-        for grade, x in zip(b.column("grade").to_pylist(), b.column("words"), strict=True):
-            at = (np.frombuffer(x.as_buffer(), np.uint64) & np.uint64(BUCKETS - 1)).astype(np.int64)
-            n[at] += 1
-            if grade > 0:
-                n[at + BUCKETS] += 1
-    rows = C.chunk_rows(n)
-    me = TaskContext.get().partitionId()
-    yield pa.RecordBatch.from_arrays([pa.array([me] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["task", "chunk", "blob"])
+    got = sorted((bytes(r[2]), r[0], r[1]) for r in got)  # the same model however the rows arrive
+    sets = [np.frombuffer(w, np.uint64) for w, _, _ in got]
+    return fit(np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate(sets), np.array([g for _, g, _ in got]), held=np.array([h for _, _, h in got]))
+
+
+def member(sorted_words: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The place of each of v in a sorted array; the array's length for those that are not in it."""
+    if not len(sorted_words):
+        return np.zeros(len(v), np.int64)
+    at = np.minimum(np.searchsorted(sorted_words, v), len(sorted_words) - 1)
+    return np.where(sorted_words[at] == v, at, len(sorted_words))
 
 
 def scores(model: Ordinal, col: pa.Array) -> np.ndarray:
