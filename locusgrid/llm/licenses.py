@@ -1,15 +1,16 @@
 """License scan: phrases, and a set-similarity join of text blocks with license templates. DataFrame functions only.
 
 A template of L words matches a text where a run of at most L * 100 / percent successive words, whatever line breaks stand in it, holds at
-least `percent` of its distinct words. Blocks are runs of twice the longest such length at steps of it, so that each run lies in a block. Words are put in one global order,
-rare first by the number of documents that hold them (counted over all documents, for the templates' words, a set of fixed size). Of a
-template of size n that needs k words, a matching block must hold one of its n - k + 1 rarest; that join on the prefix word, a length
-filter (the block has at least k words of some template) and a positional filter (enough words of the template remain from the shared one on,
-in it) leave few pairs, whose runs are compared in full.
+least `percent` of its distinct words. Blocks are runs of twice the longest such length at steps of it, so that each run lies in a block.
+Words are put in one global order, rare first by the number of documents that hold them (counted over all documents, for the templates'
+words, a set of fixed size). Of a template of size n that needs k words, a matching block must hold one of its n - k + 1 rarest, its
+prefix. The join on prefix words, a length filter (the block holds k of the template's words) and a positional filter (enough words of
+the template remain from the first one shared on) leave few pairs, whose runs are compared in full.
 
-Only blocks of documents that hold k words of some template at all are cut out, in the same pass that counts.
+Two passes: one counts words, the other takes the blocks that hold a prefix word of any template to the join.
 
-Defined cases: null and empty texts have no words, places or labels and score 0; repeated rows keep a row each; other columns are ignored.
+Defined cases: null and empty texts have no words, places or labels and score 0; an empty table gives an empty result; texts of any length
+are taken whole; a run at the threshold matches; repeated rows keep a row each and all count; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -60,9 +61,9 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
 
-def held(text: Column, vocabulary: list[str]) -> Column:
-    """The vocabulary's words that a text holds."""
-    return F.array_intersect(F.split(F.lower(text), f"[{SEP}]+"), F.array(*[F.lit(w) for w in vocabulary]))
+def words_of(text: Column) -> Column:
+    """A text's words, A-Z in lower case. No other letter becomes an ASCII one but the Kelvin sign, which is put aside first."""
+    return F.split(F.lower(F.replace(text, F.lit("\u212a"), F.lit("\u00e5"))), f"[{SEP}]+")
 
 
 def best_run(block: Column, words: Column, length: Column) -> Column:
@@ -91,37 +92,39 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, percent: int
         pattern, size = phrase_pattern(phrase), len(phrase.split())
         hit = F.when(F.col("t").rlike(pattern), let(F.split("t", pattern, -1), place_of(size)))
         places.append(F.struct(F.lit(label).alias("label"), hit.alias("p")))
-    words = held(F.col("t"), vocabulary)
-    enough = F.lit(False)
-    for k, s in sets.items():
-        enough = enough | (F.size(F.array_intersect("v", F.array(*[F.lit(w) for w in s]))) >= need[k])
-    df = df.select("doc_id", "row", "t", n_words(F.col("t")).alias("n_words"), F.filter(F.array(*places), lambda x: x["p"].isNotNull()).alias("base"), words.alias("v"))
-    long = {k: (len(re.findall(WORD_OF, v)) * 100 + percent - 1) // percent for k, v in templates.items()}
-    step, least, known = max(long.values()), min(need.values()), F.array(*[F.lit(w) for w in vocabulary])
-    runs = lambda ws: F.transform(F.sequence(F.lit(0), F.floor((F.size(ws) - 1) / step).cast("int")), lambda k: F.slice(ws, k * step + 1, F.lit(2 * step)))
-    blocks = F.when(enough, let(F.split(F.lower("t"), f"[{SEP}]+"), lambda ws: F.filter(runs(ws), lambda b: F.size(F.array_intersect(b, known)) >= least)))
-    one = C.stage(df.select("doc_id", "row", "n_words", "base", "v", blocks.alias("blocks")), "license-rows")
+    df = df.select("doc_id", "row", "t", n_words(F.col("t")).alias("n_words"), F.filter(F.array(*places), lambda x: x["p"].isNotNull()).alias("base"))
+    known = F.array(*[F.lit(w) for w in vocabulary])
 
+    # the templates in the global order: rows in proportion to the template list, whatever the corpus
     spark = docs.sparkSession
-    df_count = one.select(F.explode("v").alias("w")).groupBy("w").agg(F.count("*").alias("df"))
-    every = spark.createDataFrame([(w,) for w in vocabulary], "w string").join(df_count, "w", "left").select("w", F.coalesce("df", F.lit(0)).alias("df"))
-    shape = spark.createDataFrame([(k, w, len(s), need[k], long[k]) for k, s in sets.items() for w in s], "label string, w string, size int, need int, long int").join(every, "w")
-    # the templates in the global order: a row each, bounded by the template list
-    ordered = shape.groupBy("label", "size", "need", "long").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("ws")).select("label", "size", "need", "long", F.transform("ws", lambda x: x["w"]).alias("ws"))
-    prefix = ordered.select("label", "size", "need", "long", "ws", F.posexplode(F.slice("ws", F.lit(1), F.col("size") - F.col("need") + 1)).alias("i", "w"))
+    counts = docs.select(F.explode(F.array_intersect(words_of(t), known)).alias("w")).groupBy("w").agg(F.count("*").alias("df"))
+    found = {r["w"]: r["df"] for r in counts.collect()}  # the templates' words at most
+    ordered = {k: sorted(s, key=lambda w: (found.get(w, 0), w)) for k, s in sets.items()}
+    long = {k: (len(re.findall(WORD_OF, v)) * 100 + percent - 1) // percent for k, v in templates.items()}
+    prefix = [(k, w, i, len(ws), need[k], long[k], ws) for k, ws in ordered.items() for i, w in enumerate(ws[: len(ws) - need[k] + 1])]
+    prefix_table = spark.createDataFrame(prefix, "label string, w string, i int, size int, need int, long int, ws array<string>")
+    rare = F.array(*[F.lit(w) for w in sorted({p[1] for p in prefix})])
+
+    step = max(long.values())
+    runs = lambda ws: F.transform(F.sequence(F.lit(0), F.floor((F.size(ws) - 1) / step).cast("int")), lambda k: F.slice(ws, k * step + 1, F.lit(2 * step)))
+    blocks = let(words_of(F.col("t")), lambda ws: F.when(F.arrays_overlap(ws, rare), F.filter(runs(ws), lambda b: F.arrays_overlap(b, rare))))
+    one = C.stage(df.select("doc_id", "row", "n_words", "base", blocks.alias("blocks")), "license-rows")
     cut = one.where("blocks IS NOT NULL").select("row", F.explode("blocks").alias("b"))
-    pairs = cut.select("row", "b", F.explode(F.array_intersect("b", known)).alias("w")).join(F.broadcast(prefix), "w")  # a row a prefix word of the fixed templates
-    pairs = pairs.where((F.col("size") - F.col("i") >= F.col("need")) & (F.size(F.array_intersect("b", "ws")) >= F.col("need")))
+    pairs = cut.select("row", "b", F.explode(F.array_intersect("b", rare)).alias("w")).join(F.broadcast(prefix_table), "w")  # a row a prefix word of the fixed templates
+    # a pair is taken up at its first shared prefix word
+    first = F.array_position("ws", F.array_intersect("ws", "b")[0]) - 1 == F.col("i")
+    pairs = pairs.where(first & (F.size(F.array_intersect("b", "ws")) >= F.col("need")) & (F.col("size") - F.col("i") >= F.col("need")))
     score = best_run(F.col("b"), F.col("ws"), F.col("long")) / F.col("size")
     hits = pairs.withColumn("score", score).where(F.col("score") * 100 >= percent).groupBy("row").agg(F.collect_set(F.regexp_replace("label", "-notice$", "")).alias("more"), F.max("score").alias("score"))
 
     out = one.select("doc_id", "row", "n_words", "base").join(hits, "row", "left")
     base = F.transform("base", lambda x: x["label"])
     total = F.aggregate("base", F.lit(0).cast("long"), lambda a, x: a + x["p"]["n"])
+    n_labels = F.size(F.array_distinct(F.concat(base, F.coalesce("more", F.array().cast("array<string>"))))).cast("long")
     return out.select(
         "doc_id", "n_words", total.alias("n_base"), F.array_min(F.transform("base", lambda x: x["p"]["first"])).alias("first_word"), F.array_max(F.transform("base", lambda x: x["p"]["last"])).alias("last_word"),
         F.array_join(F.array_sort(F.array_distinct(base)), ",").alias("base_labels"), F.array_join(F.array_sort(F.array_distinct(F.concat(base, F.coalesce("more", F.array().cast("array<string>"))))), ",").alias("labels"),
-        F.when(F.size("base") > 0, 1.0).otherwise(F.coalesce("score", F.lit(0.0))).alias("score"),
+        F.when(F.size("base") > 0, 1.0).otherwise(F.coalesce("score", F.lit(0.0))).alias("score"), n_labels.alias("n_labels"),
     )
 
 
