@@ -8,10 +8,15 @@ candidate; then the slots of the matched windows are compared: within a pair, on
 document. Equal values are a verbatim copy; consistently different ones a re-parameterised question; others are dropped. A capitalised word at the
 start of an item's sentence may be no name: it is held to one value only if the item has it inside a sentence as well.
 
-The benchmark's windows are broadcast only when their counted number is within BROADCAST_WINDOWS; otherwise the join shuffles.
+The benchmark's windows, and the keys of contaminated texts, are broadcast only when their counted number is within BROADCAST_ROWS;
+otherwise their joins shuffle. `least` windows bound the recall: an item of a length of `window` words or more is found where that many of its
+windows stand whole in the text, twelve successive words with the given figures. Texts are told by a hash, so that equal texts are compared once.
 
 Defined cases: null and empty texts match nothing; an item of fewer than `window` words has one window of the whole item, which documents
-match at that length too, its first word by value unless it is a number; repeated rows of a document or item add nothing; null ids match nothing; other columns are ignored.
+match at that length too, its first word by value unless it is a number; items under `short` words count only where they are the whole
+document; texts of any length are taken whole; repeated rows of a document or item add nothing; null ids match nothing (in keep_clean they
+are judged by their texts like all others); a document of several equally good windows is consistent if one fits; empty tables give an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,8 +27,8 @@ from pyspark.sql import functions as F
 from locusgrid.llm import common as C
 from locusgrid.llm.spans import let
 
-WINDOW, LEAST = 8, 5
-BROADCAST_WINDOWS = 200_000  # 24 bytes each
+WINDOW, LEAST, SHORT = 8, 5, 4
+BROADCAST_ROWS = 200_000  # 24 bytes each
 #: Units that may follow a number.
 UNITS = "kg|g|mg|km|m|cm|mm|mi|miles?|feet|ft|inch(?:es)?|l|ml|litres?|liters?|hours?|minutes?|seconds?|days?|weeks?|months?|years?|dollars?|cents?|euros?|percent|pounds?|lbs?|kmh|mph|degrees?"
 NUMBER, NAME, UNIT = "\u0001", "\u0002", "\u0003"  # marks of a slot's type, before its value
@@ -102,38 +107,41 @@ def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
     return b.select("item_id", "size", "n", F.explode("hs").alias("x")).select("item_id", "size", "n", "x.at", "x.h")
 
 
-def document_windows(docs: DataFrame, sizes: list[int], window: int) -> DataFrame:
-    """(doc_id, size, at, h) of all windows of the given sizes, with names as slots (in short windows not at the first word) and, where
-    that differs, as words. docs: (doc_id, text)."""
+def document_windows(docs: DataFrame, sizes: list[int], window: int, short: int) -> DataFrame:
+    """(key, size, at, h) of all windows of the given sizes, with names as slots (in short windows not at the first word) and, where
+    that differs, as words; those of under `short` words only if they are the whole text. docs: (key, text)."""
 
     def both(c: Column, n: int) -> Column:
         put = lambda h, i: F.struct(F.lit(n).alias("size"), i.cast("int").alias("at"), h.alias("h"))
         slots = windows(c["a"], n) if n == window else windows(c["a"], n, c["b"])
         other = lambda x: F.filter(F.transform(x["b"], lambda h, i: F.when(h != x["a"][i], put(h, i))), lambda y: y.isNotNull())
-        return let(F.struct(slots.alias("a"), windows(c["b"], n).alias("b")), lambda x: F.concat(F.transform(x["a"], put), other(x)))
+        all_ = let(F.struct(slots.alias("a"), windows(c["b"], n).alias("b")), lambda x: F.concat(F.transform(x["a"], put), other(x)))
+        return all_ if n >= short else F.when(F.size(c["a"]) == n, all_).otherwise(F.array().cast("array<struct<size:int,at:int,h:bigint>>"))
 
     c = let(marked(F.col("text")), lambda w: F.struct(canonical(w).alias("a"), canonical(w, "").alias("b")))
     out = let(c, lambda x: F.concat(*[both(x, n) for n in sizes]))
-    return docs.select("doc_id", F.explode(out).alias("x")).select("doc_id", "x.size", "x.at", "x.h")
+    return docs.select("key", F.explode(out).alias("x")).select("key", "x.size", "x.at", "x.h")
+
+
+def held(docs: DataFrame, benchmark: DataFrame, window: int, least: int, short: int) -> DataFrame:
+    """(key, item_id, n_windows, share, n_slots, n_changed, verdict) of each different text of docs (key, text) that holds an item, staged."""
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: int = LEAST) -> DataFrame:
-    """(doc_id, item_id, n_windows, share, n_slots, n_changed, verdict) of each document that holds an item; verdict: verbatim or template."""
     items = C.stage(item_windows(benchmark, window), "bench-windows")
     n, sizes = items.count(), sorted(r[0] for r in items.select("size").distinct().collect())  # `window` sizes at most
     if not n:
         sizes = [window]
-    d = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    keys = items.groupBy("size", "h").agg(F.count("*").alias("k"))
-    small = n <= BROADCAST_WINDOWS
-    keys = F.broadcast(keys.select("size", "h")) if small else keys.select("size", "h")
-    hits = C.stage(document_windows(d, sizes, window).join(keys, ["size", "h"], "left_semi" if not small else "inner"), "bench-hits")
+    keys = items.select("size", "h").distinct()
+    small = n <= BROADCAST_ROWS
+    hits = document_windows(docs, sizes, window, short).join(F.broadcast(keys) if small else keys, ["size", "h"], "left_semi")
+    hits = C.stage(hits.distinct(), "bench-hits")  # equal texts have equal windows
     pairs = hits.join(F.broadcast(items) if small else items, ["size", "h"])
-    per = pairs.groupBy("doc_id", "item_id").agg(F.countDistinct(items["at"]).alias("n_windows"), F.max("n").alias("n")).where(F.col("n_windows") >= F.least(F.lit(least), F.col("n")))
+    per = pairs.groupBy("key", "item_id").agg(F.countDistinct(items["at"]).alias("n_windows"), F.max("n").alias("n")).where(F.col("n_windows") >= F.least(F.lit(least), F.col("n")))
     per = C.stage(per, "bench-pairs")
 
     # slots: the words of just the candidate documents and items are taken again
-    pair_at = pairs.select("doc_id", "item_id", "size", hits["at"].alias("i"), items["at"].alias("j")).join(per.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_semi")
+    pair_at = C.stage(pairs.select("key", "item_id", "size", hits["at"].alias("i"), items["at"].alias("j")).join(per.select("key", "item_id"), ["key", "item_id"], "left_semi"), "bench-places")
+    C.unstage(hits, items)
     part = lambda ws, k: F.slice(ws, k + 1, F.col("size"))
     slot = lambda ws, k: F.transform(part(ws, k), lambda w: F.when(first(w) <= INITIAL, w))
     bw = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), marked(F.col("text").cast("string"), True).alias("bw"))
@@ -142,27 +150,44 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, le
     bw = bw.select("item_id", let(F.col("bw"), named).alias("bw"))
     slotted = bw.where(F.exists("bw", lambda w: first(w) <= INITIAL))
     open_ = pair_at.join(slotted.select("item_id"), "item_id", "left_semi")
-    ids = C.stage(open_.select("doc_id").distinct(), "bench-docs")
-    dw = d.join(ids, "doc_id", "left_semi").select("doc_id", marked(F.col("text")).alias("dw"))
-    pieces = dw.join(open_, "doc_id").select("doc_id", "item_id", "j", "size", F.transform(part(F.col("dw"), F.col("i")), bare).alias("ds"))
-    both = pieces.join(slotted, "item_id").select("doc_id", "item_id", "j", "ds", slot(F.col("bw"), F.col("j")).alias("bs"))
-    cells = both.select("doc_id", "item_id", "j", F.posexplode(F.arrays_zip("bs", "ds")).alias("k", "x")).where("x.bs IS NOT NULL").select("doc_id", "item_id", (F.col("j") + F.col("k")).alias("place"), F.col("x.bs").alias("b"), F.col("x.ds").alias("v")).distinct()
+    asked = C.stage(open_.select("key").distinct(), "bench-texts")
+    n_asked = asked.count()
+    dw = docs.join(F.broadcast(asked) if n_asked <= BROADCAST_ROWS else asked, "key", "left_semi").select("key", marked(F.col("text")).alias("dw")).dropDuplicates(["key"])
+    pieces = dw.join(open_, "key").select("key", "item_id", "j", "size", F.transform(part(F.col("dw"), F.col("i")), bare).alias("ds"))
+    both = pieces.join(slotted, "item_id").select("key", "item_id", "j", "ds", slot(F.col("bw"), F.col("j")).alias("bs"))
+    cells = both.select("key", "item_id", "j", F.posexplode(F.arrays_zip("bs", "ds")).alias("k", "x")).where("x.bs IS NOT NULL").select("key", "item_id", (F.col("j") + F.col("k")).alias("place"), F.col("x.bs").alias("b"), F.col("x.ds").alias("v")).distinct()
     # an item's value maps to one value of the document, and so do its places; a window that stands twice brings several: the pair is
     # consistent if some value fits every place of it
-    place = cells.groupBy("doc_id", "item_id", "b", "place").agg(F.collect_set("v").alias("vs"))
-    value = place.groupBy("doc_id", "item_id", "b").agg(F.collect_list("vs").alias("all"))
+    place = cells.groupBy("key", "item_id", "b", "place").agg(F.collect_set("v").alias("vs"))
+    value = place.groupBy("key", "item_id", "b").agg(F.collect_list("vs").alias("all"))
     fits = F.aggregate("all", F.col("all")[0], lambda a, x: F.array_intersect(a, x))
-    value = value.select("doc_id", "item_id", ((F.size(fits) > 0) | (first(F.col("b")) == INITIAL)).alias("ok"), F.array_contains(fits, bare(F.col("b"))).alias("same"))
-    slots = value.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_slots"), F.count_if(~F.col("same")).alias("n_changed"), F.min("ok").alias("ok"))
-    out = per.join(slots, ["doc_id", "item_id"], "left").where("coalesce(ok, true)")
+    value = value.select("key", "item_id", ((F.size(fits) > 0) | (first(F.col("b")) == INITIAL)).alias("ok"), F.array_contains(fits, bare(F.col("b"))).alias("same"))
+    slots = value.groupBy("key", "item_id").agg(F.count("*").alias("n_slots"), F.count_if(~F.col("same")).alias("n_changed"), F.min("ok").alias("ok"))
+    out = per.join(slots, ["key", "item_id"], "left").where("coalesce(ok, true)")
     changed = F.coalesce("n_changed", F.lit(0))
-    return out.select("doc_id", "item_id", "n_windows", (F.col("n_windows") / F.col("n")).alias("share"), F.coalesce("n_slots", F.lit(0)).alias("n_slots"), changed.alias("n_changed"), F.when(changed > 0, "template").otherwise("verbatim").alias("verdict"))
+    out = out.select("key", "item_id", "n_windows", (F.col("n_windows") / F.col("n")).alias("share"), F.coalesce("n_slots", F.lit(0)).alias("n_slots"), changed.alias("n_changed"), F.when(changed > 0, "template").otherwise("verbatim").alias("verdict"))
+    out = C.stage(out, "bench-found")
+    C.unstage(per, pair_at, asked)
+    return out
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
-    """docs without those that hold a benchmark item."""
-    gone = contaminated(docs, benchmark, **kw).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: int = LEAST, short: int = SHORT) -> DataFrame:
+    """(doc_id, item_id, n_windows, share, n_slots, n_changed, verdict) of each document that holds an item; verdict: verbatim or template."""
+    text = F.col("text").cast("string")
+    d = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
+    found = held(d.select("key", "text"), benchmark, window, least, short)
+    return d.select("doc_id", "key").join(found, "key").drop("key").distinct()
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: int = LEAST, short: int = SHORT) -> DataFrame:
+    """docs without those whose text holds a benchmark item, whatever their id."""
+    (key,) = C.fresh(docs, "_key")
+    text = F.col("text").cast("string")
+    found = held(docs.where("text IS NOT NULL").select(F.xxhash64(text).alias("key"), text.alias("text")), benchmark, window, least, short)
+    gone = C.stage(found.select(F.col("key").alias(key)).distinct(), "bench-gone")
+    C.unstage(found)
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    return docs.withColumn(key, F.xxhash64(text)).join(gone, key, "left_anti").select(*docs.columns)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
