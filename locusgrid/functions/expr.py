@@ -6,6 +6,7 @@ zero gives NULL, and row statistics say whether they skip NULL or are poisoned b
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -74,6 +75,55 @@ def seq_style(c: Column, style: str) -> Column:
     return add_chr(c) if style.upper() == "UCSC" else strip_chr(c)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once per row."""
+    return F.transform(F.array(value), body)[0]
+
+
+def sums_before(a: Column, block: int = 256) -> Column:
+    """Sums of the elements before each place of an integer array. Blocks keep the work linear up to millions of elements."""
+    zero = F.lit(0).cast("long")
+    total = lambda part: F.aggregate(part, zero, lambda x, y: x + y)
+
+    def body(arr: Column) -> Column:
+        last = F.floor((F.size(arr) - 1) / block).cast("int")
+        each = F.transform(F.sequence(F.lit(0), last), lambda b: total(F.slice(arr, b * block + 1, F.lit(block))))
+        step = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        heads = F.aggregate(each, F.struct(zero.alias("at"), F.array().cast("array<bigint>").alias("out")), step)["out"]
+        inside = lambda i: total(F.slice(arr, F.floor(i / block).cast("int") * block + 1, F.pmod(i, F.lit(block))))
+        place = lambda h: F.transform(arr, lambda _, i: F.element_at(h, F.floor(i / block).cast("int") + 1) + inside(i))
+        return F.when(F.size(arr) == 0, F.array().cast("array<bigint>")).otherwise(let(heads, place))
+
+    return let(F.transform(a, lambda x: x.cast("long")), body)
+
+
+def quantile(c: Column, p: float | list[float], error: float | None = None) -> Column:
+    """Type 7 quantiles, which keep a count of every distinct value of a group; with `error`, the value of a rank that is off by at most
+    that share of the group's values, from a sketch of bounded size that merges across tasks."""
+    at = F.array(*[F.lit(x) for x in p]) if isinstance(p, list) else F.lit(p)
+    if error is None:
+        return F.percentile(c, at)
+    if not 0 < error < 1:
+        raise ValueError("error must lie between 0 and 1")
+    return F.percentile_approx(c.cast("double"), at, int(1 / error) + 1)
+
+
+def make_names(names: list[str]) -> list[str]:
+    """Valid, unique names: other characters than letters, digits, dots and underscores become dots, a name that starts like a number or is
+    empty gets an X, repeats get .1, .2 and so on."""
+    out: list[str] = []
+    for n in names:
+        base = "".join(c if c.isalnum() or c in "._" else "." for c in n)
+        if not base or not (base[0].isalpha() or (base[0] == "." and not base[1:2].isdigit())):
+            base = f"X{base}"
+        name, k = base, 0
+        while name in out:
+            k += 1
+            name = f"{base}.{k}"
+        out.append(name)
+    return out
+
+
 def agg_na(name: str, c: Column, na_rm: bool = True) -> Column:
     """One aggregate by name. NULL for groups without values, also for sum. With na_rm False a NULL poisons the group."""
     known = {"mean": F.avg, "median": F.median, "max": F.max, "min": F.min, "sum": F.sum, "sd": F.stddev_samp}

@@ -20,18 +20,21 @@ def snp_loci(snps: DataFrame, populations: Sequence[str], maf: float = 0.01) ->
     return snps.where(hit).select("chr", at.alias("start"), low.alias("low")).groupBy("chr", "start").agg(F.max("low").alias("low"))
 
 
-def remove_snps(m: LocusFrame, snps: DataFrame, populations: Sequence[str], maf: float = 0.01, reduce_filtering: bool = False, forced: bool = False) -> tuple[LocusFrame, LocusFrame]:
-    """(loci without SNPs, loci with). With reduce_filtering, a hit that has any MAF <= 0.1 goes only if its row variance of beta
+def remove_snps(m: LocusFrame, snps: DataFrame, populations: Sequence[str], maf: float = 0.01, reduce_filtering: bool = False, forced: bool = False, snp_genome: str | None = None, error: float | None = None) -> tuple[LocusFrame, LocusFrame]:
+    """(loci without SNPs, loci with). snp_genome (hg19 or hg38): the build of the SNP table, which the frame's genome must be of. error: the
+    quantile by a sketch, see `quantile`. With reduce_filtering, a hit that has any MAF <= 0.1 goes only if its row variance of beta
     is over the 25 % quantile of such variances; fewer than ten samples need `forced`."""
     if reduce_filtering and len(m.samples) < 10 and not forced:
         raise ValueError("reduce_filtering needs ten samples, or forced")
+    if snp_genome is not None and detect_genome(m.genome) != snp_genome:
+        raise ValueError(f"SNPs of {snp_genome} do not fit the reference {m.genome or 'unknown'}; hg19 and hg38 are known")
     bad = snp_loci(snps, populations, maf)
     if not reduce_filtering:
         key = bad.select("chr", "start")
         return m.with_df(m.df.join(key, ["chr", "start"], "left_anti")), m.with_df(m.df.join(key, ["chr", "start"], "left_semi"))
     var = X.row_var(m.betas)
     df = m.df.join(bad, ["chr", "start"], "left").withColumn("_var", var)
-    q = df.where("low").agg(F.percentile("_var", F.lit(0.25)).alias("_q"))
+    q = df.where("low").agg(X.quantile(F.col("_var"), 0.25, error).alias("_q"))
     drop = F.col("low").isNotNull() & (~F.col("low") | F.coalesce(F.col("_var") > F.col("_q"), F.lit(False)))
     df = df.crossJoin(F.broadcast(q)).withColumn("_drop", drop)
     cols = [f"`{c}`" for c in m.df.columns]

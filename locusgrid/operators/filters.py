@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -92,11 +92,11 @@ def cap_values(long: DataFrame, value: str, lim: float) -> DataFrame:
     return long.where(F.col(value) <= lim)
 
 
-def mask(m: LocusFrame, low_count: int | None = None, high_quantile: float | None = 0.99) -> tuple[LocusFrame, DataFrame]:
+def mask(m: LocusFrame, low_count: int | None = None, high_quantile: float | None = 0.99, error: float | None = None) -> tuple[LocusFrame, DataFrame]:
     """NULLs cells with cov < low_count, then cells over the sample's quantile of the cov that is left. Rows stay.
 
     The thresholds come from one aggregate over all samples, a single row that is joined back as a broadcast, so the plan
-    stays lazy. Also returns the counts (sample, n_low, n_high).
+    stays lazy. error: thresholds by a sketch, see `quantile`. Also returns the counts (sample, n_low, n_high).
     """
     if low_count is not None and not isinstance(low_count, int):
         raise TypeError("low_count must be an integer")
@@ -105,7 +105,7 @@ def mask(m: LocusFrame, low_count: int | None = None, high_quantile: float | Non
     low = {s: F.when(m.cov(s) >= low_count, m.cov(s)) if low_count is not None else m.cov(s) for s in m.samples}
     df = m.df
     if high_quantile is not None:
-        tops = df.agg(*[F.percentile(low[s], F.lit(high_quantile)).alias(f"_q__{s}") for s in m.samples])
+        tops = df.agg(*[X.quantile(low[s], high_quantile, error).alias(f"_q__{s}") for s in m.samples])
         df = df.crossJoin(F.broadcast(tops))  # one row
         keep = {s: low[s].isNotNull() & (low[s] <= F.col(f"`_q__{s}`")) for s in m.samples}
         high = {s: low[s] > F.col(f"`_q__{s}`") for s in m.samples}
@@ -115,7 +115,3 @@ def mask(m: LocusFrame, low_count: int | None = None, high_quantile: float | Non
     counts = counts.select(F.explode(F.array(*[F.struct(F.lit(s).alias("sample"), F.col(f"`l__{s}`").alias("n_low"), F.col(f"`h__{s}`").alias("n_high")) for s in m.samples])).alias("x")).select("x.*")
     new = {f"beta__{s}": F.when(keep[s], m.beta(s)) for s in m.samples} | {f"cov__{s}": F.when(keep[s], m.cov(s)) for s in m.samples}
     return m.with_df(df.withColumns(new).select(*[f"`{c}`" for c in m.df.columns])), counts
-
-
-def group_of(m: LocusFrame, column: str) -> Mapping[str, object]:
-    return {s: m.coldata.get(s, {}).get(column) for s in m.samples}

@@ -11,10 +11,11 @@ from locusgrid.frame import KEY, LocusFrame
 from locusgrid.functions import expr as X
 
 
-def get_stats(m: LocusFrame, per_chr: bool = True) -> DataFrame:
-    """mean, median and sd of beta and cov by (chr, sample) or by sample; NULL is left out of each on its own."""
+def get_stats(m: LocusFrame, per_chr: bool = True, error: float | None = None) -> DataFrame:
+    """mean, median and sd of beta and cov by (chr, sample) or by sample; NULL is left out of each on its own. error: medians by a sketch
+    instead of all distinct values of a group, see `quantile`."""
     by = ["chr", "sample"] if per_chr else ["sample"]
-    aggs = [f(c).alias(f"{n}_{name}") for c, name in (("beta", "meth"), ("cov", "cov")) for n, f in (("mean", F.avg), ("median", F.median), ("sd", F.stddev_samp))]
+    aggs = [f(c).alias(f"{n}_{name}") for c, name in (("beta", "meth"), ("cov", "cov")) for n, f in (("mean", F.avg), ("median", lambda x: X.quantile(F.col(x), 0.5, error)), ("sd", F.stddev_samp))]
     return m.to_long().groupBy(*by).agg(*aggs)
 
 
@@ -23,18 +24,20 @@ def column_stat(m: LocusFrame, how: str = "mean", kind: str = "M") -> DataFrame:
     return m.df.agg(*[X.agg_na(how, m.beta(s) if kind == "M" else m.cov(s)).alias(s) for s in m.samples])
 
 
-def column_quantile(m: LocusFrame, p: float, kind: str = "C") -> DataFrame:
-    """Type 7 quantile of each sample's column."""
-    return m.df.agg(*[F.percentile(m.beta(s) if kind == "M" else m.cov(s), F.lit(p)).alias(s) for s in m.samples])
+def column_quantile(m: LocusFrame, p: float, kind: str = "C", error: float | None = None) -> DataFrame:
+    """Type 7 quantile of each sample's column, or one by a sketch, see `quantile`."""
+    return m.df.agg(*[X.quantile(m.beta(s) if kind == "M" else m.cov(s), p, error).alias(s) for s in m.samples])
 
 
 def with_sd(m: LocusFrame, na_rm: bool = False) -> DataFrame:
     return m.df.withColumn("_sd", X.row_sd(m.betas, na_rm))
 
 
-def order_by_sd(m: LocusFrame) -> DataFrame:
-    """Loci by falling row SD; a NULL sample makes the SD NULL, and these come last. Ties by locus."""
-    return with_sd(m).orderBy(F.desc_nulls_last("_sd"), *KEY).drop("_sd")
+def order_by_sd(m: LocusFrame, digits: int | None = None) -> DataFrame:
+    """Loci by falling row SD; a NULL sample makes the SD NULL, and these come last. Ties by locus; with digits, SDs tie that are equal to so
+    many places."""
+    sd = F.col("_sd") if digits is None else F.round("_sd", digits)
+    return with_sd(m).orderBy(F.desc_nulls_last(sd), *KEY).drop("_sd")
 
 
 def top_variable(m: LocusFrame, k: int | None, na_rm: bool = False) -> LocusFrame:
@@ -64,24 +67,45 @@ def histogram(m: LocusFrame, lim: int = 100) -> DataFrame:
     return m.to_long().where(F.col("cov") <= lim).groupBy("sample", "cov").agg(F.count("*").alias("n"))
 
 
-def five_numbers(df: DataFrame, by: str, value: str) -> DataFrame:
+def coverage_data(m: LocusFrame, kind: str = "hist", pheno: str | None = None, per_group: bool = False, lim: int = 100, size_lim: int = 1_000_000, seed: int = 0, **kw) -> DataFrame:
+    """Depths up to lim by sample, or by a group of samples: (variable, cov, n) counts, or a density (variable, x, density). More than
+    size_lim cells are cut to that many by a seeded sample of loci, as a plot would show them."""
+    if kind not in ("hist", "dens"):
+        raise ValueError("kind must be hist or dens")
+    if per_group and (pheno is None or any(pheno not in m.coldata.get(s, {}) for s in m.samples)):
+        raise ValueError("per_group needs an annotation column that groups the samples")
+    from locusgrid.operators.filters import cap_values, sample_rows
+
+    n_loci = size_lim // max(1, len(m.samples))
+    if m.df.limit(n_loci + 1).count() > n_loci:
+        m = sample_rows(m, n_loci, seed)
+    long = cap_values(m.to_long(), "cov", lim)
+    label = F.create_map(*[x for s in m.samples for x in (F.lit(s), F.lit(str(m.coldata[s][pheno])))])[F.col("sample")] if per_group else F.col("sample")
+    long = long.select(label.alias("variable"), "cov")
+    if kind == "hist":
+        return long.groupBy("variable", "cov").agg(F.count("*").alias("n"))
+    return density(long, "cov", "variable", **{"lo": 0.0, "hi": float(lim), "adjust": 1.5} | kw)
+
+
+def five_numbers(df: DataFrame, by: str, value: str, error: float | None = None) -> DataFrame:
     """Box-plot summary: minimum, quartiles, maximum."""
-    q = df.groupBy(by).agg(F.percentile(value, F.array(*[F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0)])).alias("q"))
+    q = df.groupBy(by).agg(X.quantile(F.col(value), [0.0, 0.25, 0.5, 0.75, 1.0], error).alias("q"))
     return q.select(by, *[F.col("q")[i].alias(n) for i, n in enumerate(("lowest", "q1", "med", "q3", "highest"))])
 
 
-def density(long: DataFrame, value: str = "beta", by: str = "sample", points: int = 512, lo: float = 0.0, hi: float = 1.0, adjust: float = 1.0, bw: float | None = None, decimals: int = 3) -> DataFrame:
+def density(long: DataFrame, value: str = "beta", by: str = "sample", points: int = 512, lo: float = 0.0, hi: float = 1.0, adjust: float = 1.0, bw: float | None = None, decimals: int | None = None, error: float | None = None) -> DataFrame:
     """(by, x, density): Gaussian kernel density on an even grid, bandwidth 0.9 min(sd, IQR / 1.34) n^-0.2 unless given.
 
-    Values are first counted by their rounding to `decimals`, so that the kernel sum works on at most 10^decimals + 1 points of
-    [lo, hi] per group however many loci there are (values outside stay whole but distinct).
+    Equal values are counted first, so the kernel sum works on distinct values. With `decimals` they are rounded before, which bounds them
+    to 10^decimals + 1 of each unit of their range, at a cost in precision. error: quartiles by a sketch, see `quantile`.
     """
     v = long.where(F.col(value).isNotNull())
-    stat = v.groupBy(by).agg(F.count("*").alias("_n"), F.stddev_samp(value).alias("_sd"), F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
+    stat = v.groupBy(by).agg(F.count("*").alias("_n"), F.stddev_samp(value).alias("_sd"), X.quantile(F.col(value), [0.25, 0.75], error).alias("_q"))
     spread = F.least(F.col("_sd"), F.nullif((F.col("_q")[1] - F.col("_q")[0]) / 1.34, F.lit(0.0)))
     h = F.lit(bw) if bw is not None else F.coalesce(spread, F.nullif(F.col("_sd"), F.lit(0.0)), F.lit(1.0)) * 0.9 * F.pow(F.col("_n"), -0.2) * adjust
     stat = stat.select(by, "_n", h.alias("_h"))
-    bins = v.groupBy(by, F.round(value, decimals).alias("_v")).agg(F.count("*").alias("_w")).join(F.broadcast(stat), by)
+    at = F.col(value).cast("double") if decimals is None else F.round(F.col(value).cast("double"), decimals)
+    bins = v.groupBy(by, at.alias("_v")).agg(F.count("*").alias("_w")).join(F.broadcast(stat), by)
     grid = F.explode(F.sequence(F.lit(0), F.lit(points - 1)))
     x = F.lit(lo) + F.col("_i") * ((hi - lo) / (points - 1))
     z = (F.col("x") - F.col("_v")) / F.col("_h")

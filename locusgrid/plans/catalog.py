@@ -12,9 +12,10 @@ from locusgrid.functions import expr as X
 from locusgrid.operators import annotate, combine, filters, pca, regions, stats
 from locusgrid.operators.intervals import KINDS
 from locusgrid.plans import fixtures as fx
-from locusgrid.plans.fixtures import SAMPLES, with_views
+from locusgrid.plans.fixtures import COLDATA, SAMPLES, with_views
 from locusgrid.sinks import export
-from locusgrid.sources import calls, reference
+from locusgrid.sources import calls, reference, store
+from locusgrid.sources.presets import layout
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -87,8 +88,8 @@ def percent(s, d):
     return rounded(calls.percent_to_fraction(df).select("chr", "start", "sample", "beta"), "beta")
 
 
-query("zero_based_shift", "SELECT chr, start + 1 AS start, sample, m FROM fx_bg")(lambda s, d: fx.view(s, d, "fx_bg").select("chr", (F.col("start") + 1).alias("start"), "sample", "m"))
-query("prefix_fix", "SELECT replace(chr, 'chr', '') AS plain, chr AS prefixed, count(*) AS n FROM fx_bg GROUP BY 1, 2")(lambda s, d: fx.view(s, d, "fx_bg").select(X.strip_chr(F.col("chr")).alias("plain"), X.add_chr(X.strip_chr(F.col("chr"))).alias("prefixed")).groupBy("plain", "prefixed").agg(F.count("*").alias("n")))
+query("zero_based_shift", "SELECT chr, start + 1 AS start, sample, m FROM fx_bg")(lambda s, d: calls.one_based(fx.view(s, d, "fx_bg").select("chr", "start", "sample", "m")))
+query("prefix_fix", "SELECT replace(chr, 'chr', '') AS plain, chr AS prefixed, count(*) AS n FROM fx_bg GROUP BY 1, 2")(lambda s, d: calls.match_contigs(calls.match_contigs(fx.view(s, d, "fx_bg").select("chr"), False).withColumn("plain", F.col("chr")), True).groupBy("plain", F.col("chr").alias("prefixed")).agg(F.count("*").alias("n")))
 query("contig_filter", "SELECT chr, start FROM fx_ref WHERE chr IN ('chr1', 'chr3')")(lambda s, d: reference.resolve(s, fx.view(s, d, "fx_ref"), ["chr1", "chr3"]).select("chr", "start"))
 query("strand_expand", "SELECT chr, start, '+' AS strand FROM fx_ref UNION ALL SELECT chr, start + 1, '-' FROM fx_ref")(lambda s, d: reference.expand_strands(fx.reference(s, d)))
 query("synced_coordinates", "SELECT chr, start + CASE WHEN strand = '-' THEN 1 ELSE 0 END AS start, strand, sample, count(*) AS n FROM fx_raw GROUP BY 1, 2, 3, 4")(lambda s, d: calls.sync_strands(fx.records(s, d)).groupBy("chr", "start", "strand", "sample").agg(F.count("*").alias("n")))
@@ -137,7 +138,7 @@ def mask_sql(low: int | None, p: float | None) -> str:
 for _name, _low, _p in (("mask_low", 10, None), ("mask_high_quantile", None, 0.99), ("mask_both", 5, 0.95)):
     QUERIES[_name] = lambda s, d, low=_low, p=_p: flat(filters.mask(fx.frame(s, d), low, p)[0])
     ORACLE[_name] = mask_sql(_low, _p)
-query("mask_counts", "SELECT sample, count_if(cov < 10) AS n_low, CAST(0 AS BIGINT) AS n_high FROM fx_long GROUP BY sample")(lambda s, d: filters.mask(fx.frame(s, d), 10, None)[1])
+query("mask_counts", "SELECT l.sample, count_if(cov < 10) AS n_low, count_if(cov >= 10 AND cov > q) AS n_high FROM fx_long l JOIN (SELECT sample, quantile_cont(cov, 0.9) AS q FROM fx_long WHERE cov >= 10 GROUP BY sample) t ON t.sample = l.sample GROUP BY l.sample")(lambda s, d: filters.mask(fx.frame(s, d), 10, 0.9)[1])
 query("get_matrix_m", "SELECT " + ", ".join(f"round(b{i}, 6) AS S{i}" for i in range(1, 5)) + " FROM fx_wide")(lambda s, d: rounded(filters.get_matrix(fx.frame(s, d)), *SAMPLES))
 query("get_matrix_c_loci", "SELECT chr, start, '*' AS strand, start + 1 AS end_, " + ", ".join(f"CAST(c{i} AS BIGINT) AS S{i}" for i in range(1, 5)) + " FROM fx_wide")(lambda s, d: filters.get_matrix(fx.frame(s, d), "C", True, True).withColumns({x: F.col(x).cast("long") for x in SAMPLES}))
 query("subset_contigs", flat_sql("WHERE chr IN ('chr2', 'chr5')"))(lambda s, d: flat(filters.subset(fx.frame(s, d), contigs=["chr2", "chr5"])))
@@ -186,20 +187,36 @@ def stats_well_covered(s, d):
 
 query("column_stat_sum", "SELECT " + ", ".join(f"CAST(sum(c{i}) AS BIGINT) AS S{i}" for i in range(1, 5)) + " FROM fx_wide")(lambda s, d: stats.column_stat(fx.frame(s, d), "sum", "C").select(*[F.col(x).cast("long").alias(x) for x in SAMPLES]))
 query("column_quantile", "SELECT " + ", ".join(f"round(quantile_cont(c{i}, 0.9), 6) AS S{i}" for i in range(1, 5)) + " FROM fx_wide")(lambda s, d: rounded(stats.column_quantile(fx.frame(s, d), 0.9), *SAMPLES))
-query("order_by_sd_top", "SELECT chr, start, round(sd, 6) AS sd FROM (SELECT chr, start, CASE WHEN count(beta) = 4 THEN stddev_samp(beta) END AS sd FROM fx_long GROUP BY chr, start) t ORDER BY round(sd, 9) DESC NULLS LAST, chr, start LIMIT 100")(lambda s, d: stats.with_sd(fx.frame(s, d)).orderBy(F.desc_nulls_last(F.round("_sd", 9)), "chr", "start").limit(100).select("chr", "start", F.round("_sd", 6).alias("sd")))
-query("row_variance", "SELECT chr, start, round(var_samp(beta), 6) AS v FROM fx_long GROUP BY chr, start")(lambda s, d: fx.frame(s, d).df.select("chr", "start", F.round(X.row_var(fx.frame(s, d).betas), 6).alias("v")))
+query("order_by_sd_top", "SELECT chr, start, round(sd, 6) AS sd FROM (SELECT chr, start, CASE WHEN count(beta) = 4 THEN stddev_samp(beta) END AS sd FROM fx_long GROUP BY chr, start) t ORDER BY round(sd, 9) DESC NULLS LAST, chr, start LIMIT 100")(lambda s, d: (lambda m: stats.with_sd(m.with_df(stats.order_by_sd(m, 9).limit(100))).select("chr", "start", F.round("_sd", 6).alias("sd")))(fx.frame(s, d)))
+# to nine places first: two engines' sums may lie on either side of a tie of the sixth
+query("row_variance", "SELECT chr, start, round(round(var_samp(beta), 9), 6) AS v FROM fx_long GROUP BY chr, start")(lambda s, d: (lambda m: m.df.select("chr", "start", F.round(F.round(X.row_var(m.betas), 9), 6).alias("v")))(fx.frame(s, d)))
 query("report_n_covered", "SELECT t.chr, t.sample, t.n_covered, r.total, round(t.n_covered / r.total, 6) AS fraction FROM (SELECT chr, sample, count(beta) AS n_covered FROM fx_long GROUP BY chr, sample) t JOIN (SELECT chr, count(*) AS total FROM fx_ref GROUP BY chr) r ON r.chr = t.chr")(lambda s, d: rounded(stats.n_covered(fx.frame(s, d), reference.loci_per_contig(fx.reference(s, d))), "fraction"))
 query("report_complete", "SELECT w.chr, count_if(b1 + b2 + b3 + b4 IS NOT NULL) AS n_complete, count(*) AS total, round(count_if(b1 + b2 + b3 + b4 IS NOT NULL) / count(*), 6) AS fraction FROM fx_wide w GROUP BY w.chr")(lambda s, d: rounded(stats.n_complete(fx.frame(s, d), reference.loci_per_contig(fx.reference(s, d))), "fraction"))
 query("coverage_histogram", "SELECT sample, CAST(cov AS BIGINT) AS cov, count(*) AS n FROM fx_long WHERE cov <= 100 GROUP BY 1, 2")(lambda s, d: stats.histogram(fx.frame(s, d)))
 
 
-@query("beta_density", "SELECT l.sample, CAST(g.i AS INTEGER) AS i, round(sum(exp(-0.5 * power((g.i / 63.0 - round(l.beta, 3)) / 0.05, 2))) / (count(*) * 0.05 * 2.5066282746310002), 5) AS density FROM fx_long l CROSS JOIN (SELECT unnest(range(64)) AS i) g WHERE l.beta IS NOT NULL GROUP BY 1, 2")
+@query("beta_density", "SELECT l.sample, CAST(g.i AS INTEGER) AS i, round(sum(exp(-0.5 * power((g.i / 63.0 - l.beta) / 0.05, 2))) / (count(*) * 0.05 * 2.5066282746310002), 5) AS density FROM fx_long l CROSS JOIN (SELECT unnest(range(64)) AS i) g WHERE l.beta IS NOT NULL GROUP BY 1, 2")
 def beta_density(s, d):
     out = stats.density(fx.frame(s, d).to_long(), points=64, bw=0.05)
     return out.select("sample", F.round(F.col("x") * 63).cast("int").alias("i"), F.round("density", 5).alias("density"))
 
 
-query("covered_five_numbers", "SELECT sample, min(beta) AS lowest, round(quantile_cont(beta, 0.25), 6) AS q1, round(quantile_cont(beta, 0.5), 6) AS med, round(quantile_cont(beta, 0.75), 6) AS q3, max(beta) AS highest FROM fx_long GROUP BY sample")(lambda s, d: rounded(stats.five_numbers(fx.frame(s, d).to_long(), "sample", "beta"), "q1", "med", "q3"))
+BOX = "CAST(min({0}) AS DOUBLE) AS lowest, round(quantile_cont({0}, 0.25), 6) AS q1, round(quantile_cont({0}, 0.5), 6) AS med, round(quantile_cont({0}, 0.75), 6) AS q3, CAST(max({0}) AS DOUBLE) AS highest"
+query("beta_five_numbers", f"SELECT sample, {BOX.format('beta')} FROM fx_long GROUP BY sample")(lambda s, d: rounded(stats.five_numbers(fx.frame(s, d).to_long(), "sample", "beta"), "q1", "med", "q3"))
+query("covered_five_numbers", f"SELECT chr, {BOX.format('n')} FROM (SELECT chr, sample, count(beta) AS n FROM fx_long GROUP BY chr, sample) t GROUP BY chr")(lambda s, d: rounded(stats.five_numbers(stats.n_covered(fx.frame(s, d)), "chr", "n_covered"), "lowest", "q1", "med", "q3", "highest"))
+_H = "(0.9 * least(sd, coalesce(nullif(iqr / 1.34, 0), sd)) * power(n, -0.2))"
+_STAT = "SELECT sample, count(*) AS n, stddev_samp(beta) AS sd, quantile_cont(beta, 0.75) - quantile_cont(beta, 0.25) AS iqr FROM fx_long WHERE beta IS NOT NULL GROUP BY sample"
+
+
+@query("violin", f"SELECT l.sample, CAST(g.i AS INTEGER) AS i, round(sum(exp(-0.5 * power((g.i / 31.0 - l.beta) / h, 2))) / (count(*) * max(h) * 2.5066282746310002), 5) AS density, -round(sum(exp(-0.5 * power((g.i / 31.0 - l.beta) / h, 2))) / (count(*) * max(h) * 2.5066282746310002), 5) AS mirror FROM fx_long l JOIN (SELECT sample, {_H} AS h FROM ({_STAT}) z) t ON t.sample = l.sample CROSS JOIN (SELECT unnest(range(32)) AS i) g WHERE l.beta IS NOT NULL GROUP BY 1, 2")
+def violin(s, d):
+    """Default bandwidth."""
+    out = stats.violin(fx.frame(s, d).to_long(), points=32)
+    return out.select("sample", F.round(F.col("x") * 31).cast("int").alias("i"), F.round("density", 5).alias("density"), F.round("mirror", 5).alias("mirror"))
+
+
+query("coverage_by_group", "SELECT CASE WHEN sample IN ('S1', 'S2') THEN 'cancer' ELSE 'normal' END AS variable, CAST(cov AS BIGINT) AS cov, count(*) AS n FROM fx_long WHERE cov <= 40 GROUP BY 1, 2")(lambda s, d: stats.coverage_data(fx.frame(s, d), "hist", "cond", True, 40))
+query("plot_data_regions", f"SELECT sample AS variable, round(beta, 6) AS meth FROM fx_long w WHERE beta IS NOT NULL AND EXISTS (SELECT 1 FROM fx_regions r WHERE r.chr = w.chr AND {ON['within']})")(lambda s, d: rounded(stats.plot_data(fx.frame(s, d), None, fx.view(s, d, "fx_regions")), "meth"))
 query("melt_long", "SELECT chr, start, sample, round(beta, 6) AS beta, CAST(cov AS BIGINT) AS cov FROM fx_long")(lambda s, d: rounded(fx.frame(s, d).to_long().select("chr", "start", "sample", "beta", "cov"), "beta"))
 query("plot_data_pheno", "SELECT CASE WHEN sample IN ('S1', 'S2') THEN 'cancer' ELSE 'normal' END AS variable, round(beta, 6) AS meth FROM fx_long WHERE beta IS NOT NULL")(lambda s, d: rounded(stats.plot_data(fx.frame(s, d), None, pheno="cond"), "meth"))
 query("stats_errorbars", "SELECT chr, sample, round(avg(beta), 6) AS value, round(greatest(avg(beta) - stddev_samp(beta), 0), 6) AS sd_low, round(avg(beta) + stddev_samp(beta), 6) AS sd_high FROM fx_long WHERE chr <> 'chr2' GROUP BY chr, sample")(lambda s, d: rounded(stats.errorbars(stats.get_stats(fx.frame(s, d)), ignore_chr=["chr2"]), "value", "sd_low", "sd_high"))
@@ -207,7 +224,7 @@ query("stats_errorbars", "SELECT chr, sample, round(avg(beta), 6) AS value, roun
 #: ---- combining ----
 query("combine_rows", flat_sql())(lambda s, d: flat(combine.combine(fx.frame(s, d)[F.col("chr") == "chr1"], fx.frame(s, d)[F.col("chr") != "chr1"])))
 query("combine_cols", flat_sql())(lambda s, d: flat(combine.combine(fx.frame(s, d)[:, ["S1", "S2"]], fx.frame(s, d)[:, ["S3", "S4"]], "col")))
-query("duplicate_loci", "SELECT chr, start, count(*) AS n FROM fx_raw GROUP BY chr, start HAVING count(*) > 1")(lambda s, d: fx.records(s, d).groupBy("chr", "start").agg(F.count("*").alias("n")).where("n > 1"))
+query("duplicate_loci", "SELECT chr, start, strand, count(*) AS n FROM fx_raw GROUP BY chr, start, strand HAVING count(*) > 1")(lambda s, d: combine.duplicated(LocusFrame(fx.records(s, d).select("chr", "start", "strand", F.col("M").alias("beta__S1"), F.col("U").alias("cov__S1")), ["S1"])))
 
 #: ---- SNPs and probes ----
 SNP = "SELECT DISTINCT chr, pos - k AS start FROM fx_snp CROSS JOIN (VALUES (0), (1)) t(k) WHERE af_a >= 0.01 OR af_b >= 0.01"
@@ -223,6 +240,8 @@ query("snp_reduced", flat_sql(f"WHERE EXISTS (SELECT 1 FROM ({_hits}) h CROSS JO
 PROBE = "SELECT chr, pos, probe_id, array_type FROM (SELECT *, row_number() OVER (PARTITION BY chr, pos ORDER BY array_type, probe_id) AS k FROM fx_probe) t WHERE k = 1"
 query("probe_exact", f"SELECT w.chr, w.start, p.probe_id, p.array_type, round(b1, 6) AS b1 FROM fx_wide w JOIN ({PROBE}) p ON p.chr = w.chr AND p.pos = w.start")(lambda s, d: rounded(annotate.probe_subset(fx.frame(s, d), fx.view(s, d, "fx_probe")).df.select("chr", "start", "probe_id", "array_type", F.col("beta__S1").alias("b1")), "b1"))
 query("probe_tolerance", f"SELECT chr, start, probe_id, array_type FROM (SELECT w.chr, w.start, p.probe_id, p.array_type, row_number() OVER (PARTITION BY w.chr, w.start ORDER BY p.pos) AS k FROM fx_ref w JOIN ({PROBE}) p ON p.chr = w.chr AND abs(p.pos - w.start) <= 25) t WHERE k = 1")(lambda s, d: annotate.probe_subset(fx.frame(s, d), fx.view(s, d, "fx_probe"), 25).df.select("chr", "start", "probe_id", "array_type"))
+_N = f"(SELECT count(*) FROM ({PROBE}) p) AS n_probes, (SELECT count(*) FROM fx_ref) AS n_loci, (SELECT count(*) FROM fx_ref w JOIN ({PROBE}) p ON p.chr = w.chr AND p.pos = w.start) AS n_matched"
+query("probe_percent", f"SELECT round(100.0 * n_matched / n_loci, 1) AS pct_loci, round(100.0 * n_matched / n_probes, 1) AS pct_probes FROM (SELECT {_N}) t")(lambda s, d: annotate.probe_coverage(fx.frame(s, d), fx.view(s, d, "fx_probe")).select(F.round("pct_loci", 1).alias("pct_loci"), F.round("pct_probes", 1).alias("pct_probes")))
 query("probe_coverage", f"SELECT (SELECT count(*) FROM ({PROBE}) p) AS n_probes, (SELECT count(*) FROM fx_ref) AS n_loci, (SELECT count(*) FROM fx_ref w JOIN ({PROBE}) p ON p.chr = w.chr AND p.pos = w.start) AS n_matched")(lambda s, d: annotate.probe_coverage(fx.frame(s, d), fx.view(s, d, "fx_probe")).select("n_probes", "n_loci", "n_matched"))
 
 #: ---- exports ----
@@ -238,5 +257,50 @@ query("motif_positions", "SELECT doc_id, CAST(i AS BIGINT) AS start FROM (SELECT
 #: ---- PCA ----
 _c = [f"(b{i} - (b1 + b2 + b3 + b4) / 4)" for i in range(1, 5)]
 query("pca_gram", " UNION ALL ".join(f"SELECT 'S{i + 1}' AS i, 'S{j + 1}' AS j, round(sum({_c[i]} * {_c[j]}), 5) AS value FROM fx_wide" for i in range(4) for j in range(i, 4)))(lambda s, d: pca.gram(fx.frame(s, d)).select("i", "j", F.round("value", 5).alias("value")))
+
+
+ORACLE["pca_reconstructed"] = ORACLE["pca_gram"]
+
+
+@query("pca_reconstructed", None)
+def pca_reconstructed(s, d):
+    """The Gram matrix from the scores of all components: checks scores and variances whatever their signs."""
+    p = pca.pca(fx.frame(s, d), top_var=None, n_pc=len(SAMPLES)).scores
+    a, b = p.alias("a"), p.alias("b")  # a row a sample
+    value = sum((F.col(f"a.PC{k}") * F.col(f"b.PC{k}") for k in range(1, len(SAMPLES) + 1)), F.lit(0.0))
+    return a.join(b, F.col("a.sample") <= F.col("b.sample")).select(F.col("a.sample").alias("i"), F.col("b.sample").alias("j"), F.round(value, 5).alias("value"))
+
+
 query("pca_scores", None)(lambda s, d: pca.pca(fx.frame(s, d)).scores)
 query("pca_variance", None)(lambda s, d: s.createDataFrame([(f"PC{k + 1}", v) for k, v in enumerate(pca.pca(fx.frame(s, d)).variance)], "pc string, fraction double"))
+
+#: ---- files: the fixture written in each call format, read back, aligned ----
+FORMATS = {  # the fields of a line as SQL; the reader's arguments
+    "Bismark_cov": (["chr", "start - 1", "start", "m / (m + u) * 100", "CAST(m AS BIGINT)", "CAST(u AS BIGINT)"], {}),
+    "MethylDackel": (["replace(chr, 'chr', '')", "start - 1", "start", "'x'", "CAST(m AS BIGINT)", "CAST(u AS BIGINT)"], {}),
+    "MethylcTools": (["chr", "start", "'x'", "'x'", "'x'", "CAST(m AS BIGINT)", "CAST(u AS BIGINT)"], {"zero_based": False}),
+    "BisSNP": (["chr", "start - 1", "start", "m / (m + u)", "CAST(m + u AS BIGINT)"], {}),
+    "BSseeker2_CGmap": (["chr", "'C'", "start", "'CG'", "'x'", "m / (m + u)", "'x'", "CAST(m + u AS BIGINT)"], {"zero_based": False}),
+}
+
+
+def files_query(name: str, preset: str | None, gz: bool = False, split: bool = False):
+    """gz: compressed files. split: M on the forward strand, U on the reverse, one base on; read back stranded and collapsed."""
+
+    @query(name, flat_sql())
+    def run(s, d):
+        fields, more = FORMATS[preset or "MethylcTools"]
+        df = fx.view(s, d, "fx_bg")
+        if split:
+            df = df.selectExpr("chr", "sample", "inline(array(named_struct('start', start, 'm', double(m), 'u', 0D), named_struct('start', start + 1, 'm', 0D, 'u', double(u))))").where("m + u > 0")
+        lines = df.select("sample", F.concat_ws("\t", *[F.expr(c).cast("string") for c in fields]).alias("value"))
+        folder = store.scratch(s, name)
+        lines.write.partitionBy("sample").option("compression", "gzip" if gz else "none").text(folder)
+        cols = layout(preset) if preset else layout(None, chr=1, start=2, M=6, U=7)
+        return flat(calls.read_calls(s, [f"{folder}/sample={x}" for x in SAMPLES], cols, fx.view(s, d, "fx_ref"), coldata=COLDATA, stranded=split, collapse=split, **more))
+
+
+for _name in FORMATS:
+    files_query(f"read_{_name.lower()}", _name)
+files_query("read_gzip", "Bismark_cov", gz=True)
+files_query("read_custom_stranded", None, split=True)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,9 +37,9 @@ def sample_names(paths: Sequence[str]) -> list[str]:
     return out
 
 
-def scan(spark: SparkSession, paths: Sequence[str], cols: Layout) -> DataFrame:
+def scan(spark: SparkSession, paths: Sequence[str], cols: Layout, names: Sequence[str] | None = None) -> DataFrame:
     """Raw records of tab-separated files (also .gz): the layout's fields, `sample`, and `ord`, the place in the file."""
-    names = sample_names(paths)
+    names = names or sample_names(paths)
     width = max(cols.idx.values())
     schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(1, width + 1)])
     parts = []
@@ -94,6 +95,11 @@ def collapse_strands(df: DataFrame) -> DataFrame:
     return out.select("chr", "start", "sample", F.lit("*").alias("strand"), m.alias("M"), u.alias("U"), (m + u).alias("cov"), X.ratio(m, m + u).alias("beta"))
 
 
+def one_based(df: DataFrame) -> DataFrame:
+    """Starts counted from 0 move on by one."""
+    return df.withColumn("start", F.col("start") + 1)
+
+
 def zero_to_null(df: DataFrame) -> DataFrame:
     """Loci of no depth are not covered: beta and cov become NULL."""
     on = F.col("cov") > 0
@@ -134,10 +140,11 @@ def foreign_records(ref: DataFrame, cells: DataFrame) -> DataFrame:
     return cells.join(ref.select("chr", "start"), ["chr", "start"], "left_anti")
 
 
-def ingest_stats(m: LocusFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(genome_stat, chr_stat, n_covered): mean and median of beta and cov over covered loci, and covered loci by chr x sample."""
+def ingest_stats(m: LocusFrame, error: float | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(genome_stat, chr_stat, n_covered): mean and median of beta and cov over covered loci, and covered loci by chr x sample.
+    error: see `quantile`."""
     long = m.to_long().where("beta IS NOT NULL")
-    aggs = [F.avg("beta").alias("mean_meth"), F.median("beta").alias("median_meth"), F.avg("cov").alias("mean_cov"), F.median("cov").alias("median_cov")]
+    aggs = [F.avg("beta").alias("mean_meth"), X.quantile(F.col("beta"), 0.5, error).alias("median_meth"), F.avg("cov").alias("mean_cov"), X.quantile(F.col("cov"), 0.5, error).alias("median_cov")]
     counts = m.df.groupBy("chr").agg(*[F.count(m.beta(s)).alias(s) for s in m.samples])
     return long.groupBy("sample").agg(*aggs), long.groupBy("chr", "sample").agg(*aggs), counts
 
@@ -152,15 +159,18 @@ def read_calls(spark: SparkSession, paths: Sequence[str], cols: Layout, ref, *,
     if coldata is not None and len(coldata) != len(names):
         raise ValueError("coldata must have a row for each file")
     if coldata is not None:
+        names = X.make_names(list(coldata))  # rows name the samples, in the order of the files
+        if names != list(coldata):
+            warnings.warn("sample names were changed: " + ", ".join(f"{a} to {b}" for a, b in zip(coldata, names, strict=True) if a != b), stacklevel=2)
         coldata = dict(zip(names, coldata.values(), strict=True))
     loci = R.resolve(spark, ref)
     prefixed = bool(loci.select(F.max(F.col("chr").startswith("chr"))).first()[0])
     loci = loci.where(F.col("chr").isin(list(contigs))) if contigs is not None else loci
-    df = scan(spark, paths, cols).where("chr IS NOT NULL AND start IS NOT NULL")
+    df = scan(spark, paths, cols, names).where("chr IS NOT NULL AND start IS NOT NULL")
     df = percent_to_fraction(df) if "beta" in cols.idx else df
     df = derive(df)
     df = df if "strand" in cols.idx else df.withColumn("strand", F.lit("*"))
-    df = df.withColumn("start", F.col("start") + 1) if zero_based else df
+    df = one_based(df) if zero_based else df
     df = match_contigs(df, prefixed)
     df = df.where(F.col("chr").isin(list(contigs))) if contigs is not None else df
     df = sync_strands(df) if synced else df

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import json
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -37,3 +41,22 @@ def to_memory(m: LocusFrame) -> LocusFrame:
     if not m.meta.get("path"):
         raise ValueError("not on disk")
     return m.with_df(m.df.persist(), meta={k: v for k, v in m.meta.items() if k != "path"})
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path that the driver and executors share: under `spark.checkpoint.dir`, or a temporary one for a local master."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='locusgrid-')}"
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = f"{base}/scratch/{name}-{uuid.uuid4().hex[:12]}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may be gone, and its folder with it
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)

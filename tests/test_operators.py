@@ -8,7 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from locusgrid.frame import LocusFrame
+from locusgrid.functions import expr as X
 from locusgrid.operators import annotate, combine, filters, pca, regions, stats
+from locusgrid.operators.intervals import cast_regions
 from locusgrid.sinks import bigwig, export, report
 from locusgrid.sources import calls, reference, store
 from locusgrid.sources.presets import layout
@@ -144,6 +146,83 @@ def test_fasta_loci(spark, tmp_path):
     assert dict(tuple(r) for r in sizes.collect()) == {"chr1": 7, "chr2": 3}
 
 
+def test_fasta_over_blocks(spark, tmp_path):
+    """Contigs over several blocks of a file, headers anywhere, a motif over each kind of border."""
+    import random
+
+    rnd = random.Random(3)
+    seqs = {f"c{i}": "".join(rnd.choice("ACGcg") for _ in range(n)) for i, n in enumerate((2000, 61, 1, 3000))}
+    text = "".join(f">{k} note\n" + "".join(v[i : i + 60] + "\n" for i in range(0, len(v), 60)) + "\n" for k, v in seqs.items())
+    (tmp_path / "g.fa").write_text(text)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+    try:
+        loci, sizes = reference.extract_cpgs(spark, str(tmp_path / "g.fa"))
+        got, lengths = sorted((r.chr, r.start) for r in loci.collect()), dict(tuple(r) for r in sizes.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == sorted((k, i + 1) for k, v in seqs.items() for i in range(len(v) - 1) if v[i : i + 2].upper() == "CG")
+    assert lengths == {k: len(v) for k, v in seqs.items()}
+
+
+def test_loci_overlapping_and_empty(spark):
+    df = spark.createDataFrame([("a", "aaaa"), ("b", ""), ("c", None), ("d", "baab"), ("e", "xaaaa" * 3000)], "k string, s string")
+    got = sorted((r.k, r.start) for r in reference.extract_loci(df, "k", "s", "aa").where("k <> 'e'").collect())
+    assert got == [("a", 1), ("a", 2), ("a", 3), ("d", 2)]
+    assert reference.extract_loci(df, "k", "s", "aa").where("k = 'e'").count() == 9000
+
+
+def test_names_and_regions_are_checked(spark, tmp_path):
+    assert X.make_names(["a b", "a.b", "1x", "", "ok"]) == ["a.b", "a.b.1", "X1x", "X", "ok"]
+    (tmp_path / "f.cov").write_text("chr1\t0\t1\t100\t8\t0\n")
+    with pytest.warns(UserWarning, match="my sample to my.sample"):
+        m = calls.read_calls(spark, [str(tmp_path / "f.cov")], layout("Bismark_cov"), [("chr1", 1)], coldata={"my sample": {"g": 1}})
+    assert m.samples == ["my.sample"] and m.coldata == {"my.sample": {"g": 1}} and m.df.first()["beta__my.sample"] == 1.0
+    with pytest.warns(UserWarning, match="taking a, b, c"):
+        cast_regions(spark.createDataFrame([("chr1", 1, 2)], "a string, b int, c int"))
+    with pytest.raises(TypeError):
+        cast_regions([("chr1", 1, 2)])
+    with pytest.raises(ValueError):
+        annotate.remove_snps(frame(spark), spark.createDataFrame([("chr9", 5, 0.5)], "chr string, pos long, af double"), ["af"], snp_genome="hg19")
+
+
+def test_uncovered_loci_are_written(spark, tmp_path):
+    (tmp_path / "A.cov").write_text("chr1\t0\t1\t100\t8\t0\n")
+    calls.read_calls(spark, [str(tmp_path / "A.cov")], layout("Bismark_cov"), [("chr1", 1), ("chr1", 11)], uncovered_dir=str(tmp_path / "u"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "u" / "A_uncovered.bed")).collect()] == ["chr1\t11\t12"]
+
+
+def test_quantiles_by_sketch(spark):
+    m = frame(spark, [("chr1", i, "*", i / 5000, 1 - i / 5000, i, 5) for i in range(5000)])
+    exact, near = (stats.get_stats(m, False, e).orderBy("sample").collect() for e in (None, 0.01))
+    assert all(abs(a.median_meth - b.median_meth) <= 0.01 and abs(a.median_cov - b.median_cov) <= 50 for a, b in zip(exact, near, strict=True))
+    assert abs(stats.column_quantile(m, 0.9, "M", 0.01).first()["A"] - 0.9) <= 0.01
+    assert abs(filters.mask(m, None, 0.9, 0.01)[0].df.agg(F.max("cov__A")).first()[0] - 4500) <= 50
+    with pytest.raises(ValueError):
+        stats.get_stats(m, error=2)
+
+
+def test_coverage_data(spark):
+    m = frame(spark)
+    got = {(r.variable, r.cov): r.n for r in stats.coverage_data(m, lim=20).collect()}
+    assert got == {("A", 10): 1, ("A", 3): 1, ("B", 20): 1, ("B", 5): 1}
+    assert sum(r.n for r in stats.coverage_data(m, lim=1000, size_lim=4, pheno="g", per_group=True).collect()) <= 4
+    dens = stats.coverage_data(m, "dens", lim=100, points=101, bw=2.0).where("variable = 'A'").collect()
+    assert abs(sum(r.density for r in dens) - 1) < 0.05
+    for bad in ({"kind": "box"}, {"per_group": True}, {"per_group": True, "pheno": "z"}):
+        with pytest.raises(ValueError):
+            stats.coverage_data(m, **bad)
+
+
+@pytest.mark.parametrize("broadcast", [True, False, None])
+def test_broad_regions_make_few_rows(spark, broadcast):
+    m = frame(spark, [("chr1", i * 1000, "*", 0.1, 0.1, 1, 1) for i in range(100)])
+    r = spark.createDataFrame([(0, "chr1", 0, 90_000_000), (1, "chr1", 5000, 5001)], "rid long, chr string, r_start long, r_end long")
+    from locusgrid.operators.intervals import interval_join
+
+    assert interval_join(m.df, r, "any", broadcast=broadcast).count() == 101
+
+
 def test_zero_cov_and_nan(spark):
     df = spark.createDataFrame([(0.0, 0.0), (2.0, 2.0), (float("nan"), 1.0)], "M double, U double")
     rows = calls.zero_to_null(calls.derive(df.select(F.when(~F.isnan("M"), F.col("M")).alias("M"), "U"))).collect()
@@ -176,7 +255,7 @@ def test_bedgraph_roundtrip(spark, tmp_path):
 
 
 def test_bigwig_layout(spark):
-    out = dict(bigwig.write_bigwigs(frame(spark)))
+    out = {s: b"".join(parts) for s, parts in bigwig.write_bigwigs(frame(spark))}
     data = out["A"]
     magic, version, zooms, tree, full, index = struct.unpack_from("<IHHQQQ", data)
     assert (magic, version, zooms) == (0x888FFC26, 4, 0)
@@ -186,13 +265,47 @@ def test_bigwig_layout(spark):
     raw = zlib.decompress(data[off : off + size])
     assert struct.unpack_from("<If", raw, 24) == (0, 0.5)
     with pytest.raises(ValueError):
-        list(bigwig.write_bigwigs(frame(spark), {"chrZ": 1}))
+        [list(parts) for _, parts in bigwig.write_bigwigs(frame(spark), {"chrZ": 1})]
+
+
+def test_bigwig_levels(spark, monkeypatch):
+    """Every value is found through an index of several levels."""
+    monkeypatch.setattr(bigwig, "FANOUT", 4)
+    rows = [(f"chr{c}", i, "*", i / 7000, None, 1, None) for c in (1, 2) for i in range(1, 14000, 2)]
+    m = LocusFrame(spark.createDataFrame(rows, SCHEMA).repartition(5), ["A", "B"], chrom_sizes={"chr1": 14001, "chr2": 14001, "chr3": 9})
+    files = {s: b"".join(parts) for s, parts in bigwig.write_bigwigs(m)}
+    data = files["A"]
+    full, at = struct.unpack_from("<QQ", data, 16)
+    got, levels = {}, set()
+
+    def walk(node, depth):
+        leaf, _, n = struct.unpack_from("<BBH", data, node)
+        levels.add(depth)
+        for k in range(n):
+            if leaf:
+                c, s, _, e, off, size = struct.unpack_from("<IIIIQQ", data, node + 4 + 32 * k)
+                raw = zlib.decompress(data[off : off + size])
+                for j in range(struct.unpack_from("<H", raw, 22)[0]):
+                    p, v = struct.unpack_from("<If", raw, 24 + 8 * j)
+                    assert s <= p < e
+                    got[c, p + 1] = v
+            else:
+                walk(struct.unpack_from("<Q", data, node + 4 + 24 * k + 16)[0], depth + 1)
+
+    walk(at + 48, 0)
+    assert len(levels) > 1 and struct.unpack_from("<Q", data, full)[0] == struct.unpack_from("<Q", data, at + 8)[0]
+    assert got.keys() == {(int(r[0][3]) - 1, r[1]) for r in rows} and all(abs(got[int(r[0][3]) - 1, r[1]] - r[3]) < 1e-6 for r in rows)
+    assert struct.unpack_from("<Q", files["B"], struct.unpack_from("<Q", files["B"], 16)[0])[0] == 0
 
 
 def test_report(spark, tmp_path):
     m = frame(spark)
     page = report.write_report(m, reference.loci_per_contig(m.df), str(tmp_path))
-    assert "mean coverage" in spark.read.text(page).first()[0]
+    text = spark.read.text(page).first()[0]
+    assert "mean coverage" in text and "methylation density" in text and "Only the first" not in text
+    saved = report.read_tables(spark, str(tmp_path))
+    assert saved["n_covered_per_chr"].count() == 4 and {r[0] for r in saved["density"].select("sample").distinct().collect()} == {"A", "B"}
+    assert "Only the first 1 rows" in spark.read.text(report.write_report(m, reference.loci_per_contig(m.df), str(tmp_path), "p", 1)).first()[0]
 
 
 def test_pca_matches_svd(spark):
