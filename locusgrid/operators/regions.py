@@ -12,8 +12,8 @@ from locusgrid.functions import expr as X
 from locusgrid.operators.intervals import cast_regions, interval_join
 
 
-def region_summary(m: LocusFrame, regions: DataFrame, kind: str = "M", how: str = "mean", overlap: str = "within", na_rm: bool = True, extra: Sequence[str] = (), broadcast: bool | None = None) -> DataFrame:
-    """chr, r_start, r_end, n_overlap, rid, extra columns, then a column per sample. Regions without loci have no row."""
+def region_summary(m: LocusFrame, regions: DataFrame, kind: str = "M", how: str = "mean", overlap: str = "within", na_rm: bool = True, extra: Sequence[str] = (), broadcast: bool | None = None, ordered: bool = False) -> DataFrame:
+    """ordered: sorted by region id. chr, r_start, r_end, n_overlap, rid, extra columns, then a column per sample. Regions without loci have no row."""
     if not isinstance(m, LocusFrame):
         raise TypeError("a LocusFrame is needed")
     if kind not in ("M", "C"):
@@ -22,4 +22,5 @@ def region_summary(m: LocusFrame, regions: DataFrame, kind: str = "M", how: str
     need = m.df.select("chr", "start", *[value(s).alias(s) for s in m.samples], *extra)
     pairs = interval_join(need, cast_regions(regions), overlap, "inner", broadcast)
     cols = [X.agg_na(how, F.col(f"`{c}`"), na_rm).alias(c) for c in [*extra, *m.samples]]
-    return pairs.groupBy("rid", "chr", "r_start", "r_end").agg(F.count("*").alias("n_overlap"), *cols)
+    out = pairs.groupBy("rid", "chr", "r_start", "r_end").agg(F.count("*").alias("n_overlap"), *cols)
+    return out.orderBy("rid") if ordered else out

@@ -186,6 +186,9 @@ def stats_well_covered(s, d):
 
 
 query("column_stat_sum", "SELECT " + ", ".join(f"CAST(sum(c{i}) AS BIGINT) AS S{i}" for i in range(1, 5)) + " FROM fx_wide")(lambda s, d: stats.column_stat(fx.frame(s, d), "sum", "C").select(*[F.col(x).cast("long").alias(x) for x in SAMPLES]))
+for _how in ("mean", "median", "min", "max"):
+    QUERIES[f"column_stat_{_how}"] = lambda s, d, h=_how: rounded(stats.column_stat(fx.frame(s, d), h), *SAMPLES)
+    ORACLE[f"column_stat_{_how}"] = with_views("SELECT " + ", ".join(f"round({SQL_AGG[_how]}(b{i}), 6) AS S{i}" for i in range(1, 5)) + " FROM fx_wide")
 query("column_quantile", "SELECT " + ", ".join(f"round(quantile_cont(c{i}, 0.9), 6) AS S{i}" for i in range(1, 5)) + " FROM fx_wide")(lambda s, d: rounded(stats.column_quantile(fx.frame(s, d), 0.9), *SAMPLES))
 query("order_by_sd_top", "SELECT chr, start, round(sd, 6) AS sd FROM (SELECT chr, start, CASE WHEN count(beta) = 4 THEN stddev_samp(beta) END AS sd FROM fx_long GROUP BY chr, start) t ORDER BY round(sd, 9) DESC NULLS LAST, chr, start LIMIT 100")(lambda s, d: (lambda m: stats.with_sd(m.with_df(stats.order_by_sd(m, 9).limit(100))).select("chr", "start", F.round("_sd", 6).alias("sd")))(fx.frame(s, d)))
 # to nine places first: two engines' sums may lie on either side of a tie of the sixth
@@ -241,7 +244,7 @@ PROBE = "SELECT chr, pos, probe_id, array_type FROM (SELECT *, row_number() OVER
 query("probe_exact", f"SELECT w.chr, w.start, p.probe_id, p.array_type, round(b1, 6) AS b1 FROM fx_wide w JOIN ({PROBE}) p ON p.chr = w.chr AND p.pos = w.start")(lambda s, d: rounded(annotate.probe_subset(fx.frame(s, d), fx.view(s, d, "fx_probe")).df.select("chr", "start", "probe_id", "array_type", F.col("beta__S1").alias("b1")), "b1"))
 query("probe_tolerance", f"SELECT chr, start, probe_id, array_type FROM (SELECT w.chr, w.start, p.probe_id, p.array_type, row_number() OVER (PARTITION BY w.chr, w.start ORDER BY p.pos) AS k FROM fx_ref w JOIN ({PROBE}) p ON p.chr = w.chr AND abs(p.pos - w.start) <= 25) t WHERE k = 1")(lambda s, d: annotate.probe_subset(fx.frame(s, d), fx.view(s, d, "fx_probe"), 25).df.select("chr", "start", "probe_id", "array_type"))
 _N = f"(SELECT count(*) FROM ({PROBE}) p) AS n_probes, (SELECT count(*) FROM fx_ref) AS n_loci, (SELECT count(*) FROM fx_ref w JOIN ({PROBE}) p ON p.chr = w.chr AND p.pos = w.start) AS n_matched"
-query("probe_percent", f"SELECT round(100.0 * n_matched / n_loci, 1) AS pct_loci, round(100.0 * n_matched / n_probes, 1) AS pct_probes FROM (SELECT {_N}) t")(lambda s, d: annotate.probe_coverage(fx.frame(s, d), fx.view(s, d, "fx_probe")).select(F.round("pct_loci", 1).alias("pct_loci"), F.round("pct_probes", 1).alias("pct_probes")))
+query("probe_percent", f"SELECT round_even(CAST(n_matched * 100 AS DOUBLE) / n_loci, 2) AS pct_loci, round_even(CAST(n_matched * 100 AS DOUBLE) / n_probes, 2) AS pct_probes FROM (SELECT {_N}) t")(lambda s, d: annotate.probe_coverage(fx.frame(s, d), fx.view(s, d, "fx_probe")).select("pct_loci", "pct_probes"))
 query("probe_coverage", f"SELECT (SELECT count(*) FROM ({PROBE}) p) AS n_probes, (SELECT count(*) FROM fx_ref) AS n_loci, (SELECT count(*) FROM fx_ref w JOIN ({PROBE}) p ON p.chr = w.chr AND p.pos = w.start) AS n_matched")(lambda s, d: annotate.probe_coverage(fx.frame(s, d), fx.view(s, d, "fx_probe")).select("n_probes", "n_loci", "n_matched"))
 
 #: ---- exports ----
@@ -304,3 +307,14 @@ for _name in FORMATS:
     files_query(f"read_{_name.lower()}", _name)
 files_query("read_gzip", "Bismark_cov", gz=True)
 files_query("read_custom_stranded", None, split=True)
+
+
+@query("bedgraph_roundtrip", flat_sql())
+def bedgraph_roundtrip(s, d):
+    paths = export.write_bedgraphs(fx.frame(s, d), store.scratch(s, "bedgraph"), add_coverage=True)
+    return flat(calls.read_calls(s, paths, layout(None, chr=1, start=2, beta=4, cov=5), fx.view(s, d, "fx_ref"), zero_based=False))
+
+
+@query("parquet_roundtrip", flat_sql())
+def parquet_roundtrip(s, d):
+    return flat(store.load(s, store.save(fx.frame(s, d), store.scratch(s, "frame"))))

@@ -319,6 +319,31 @@ def test_pca_matches_svd(spark):
     assert math.isclose(got["A"], abs(np.linalg.svd(c.T, full_matrices=False)[0][0, 0] * np.linalg.svd(c.T, compute_uv=False)[0]), rel_tol=1e-6)
 
 
+def test_pca_modes_and_annotation(spark):
+    import numpy as np
+
+    x = np.random.default_rng(1).random((60, 2))
+    m = frame(spark, [("chr1", i, "*", float(a), float(b), 5, 5) for i, (a, b) in enumerate(x)])
+    r = spark.createDataFrame([(1, "chr1", 0, 30)], "rid long, chr string, r_start long, r_end long")
+    p = pca.pca(m, "rand", 10, r, seed=3)
+    assert len(p.variance) == 2 and p.cumulative[-1] == 1.0 and p.cumulative[0] == p.variance[0]
+    assert {(q["sample"], q.g) for q in pca.annotated(p, m, ["g"]).collect()} == {("A", "x"), ("B", "y")}
+    inside = pca.pca(m, top_var=None, regions=r)
+    c = x[:30] - x[:30].mean(1, keepdims=True)
+    assert math.isclose(abs(inside.scores.where("sample = 'A'").first().PC1), abs(np.linalg.svd(c.T, full_matrices=False)[0][0, 0] * np.linalg.svd(c.T, compute_uv=False)[0]), rel_tol=1e-6)
+    with pytest.raises(ValueError):
+        pca.pca(m, "best")
+
+
+def test_sampling_and_order(spark):
+    m = frame(spark, [("chr1", i, "*", i / 100, 0.5, 5, 5) for i in range(100)])
+    a, b = starts(filters.sample_rows(m, 10, 1)), starts(filters.sample_rows(m.with_df(m.df.repartition(7)), 10, 1))
+    assert a == b and len(a) == 10 and a != starts(filters.sample_rows(m, 10, 2))
+    assert [r.start for r in stats.order_by_sd(m, 9).limit(2).collect()] == [0, 1]
+    regs = spark.createDataFrame([(2, "chr1", 0, 9), (1, "chr1", 20, 29)], "rid long, chr string, r_start long, r_end long")
+    assert [r.rid for r in regions.region_summary(m, regs, ordered=True).collect()] == [1, 2]
+
+
 def test_streaming(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.tsv").write_text("chr1\t1\tA\t3\t1\nchr1\t2\tA\t0\t0\n")
