@@ -2,34 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-BLOCK = 256
-
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with value computed once per row."""
-    return F.transform(F.array(value), body)[0]
-
-
-def running(a: Column) -> Column:
-    """Sums of the elements before each place of an integer array, by blocks: linear work up to millions of elements."""
-
-    def body(arr: Column) -> Column:
-        add = lambda x, y: x + y
-        zero = F.lit(0).cast("long")
-        total = lambda part: F.aggregate(part, zero, add)
-        n = F.size(arr)
-        blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), lambda b: total(F.slice(arr, b * BLOCK + 1, F.lit(BLOCK))))
-        step = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
-        heads = F.aggregate(blocks, F.struct(zero.alias("at"), F.array().cast("array<bigint>").alias("out")), step)["out"]
-        place = lambda h: F.transform(arr, lambda _, i: F.element_at(h, F.floor(i / BLOCK).cast("int") + 1) + total(F.slice(arr, F.floor(i / BLOCK).cast("int") * BLOCK + 1, F.pmod(i, F.lit(BLOCK)))))
-        return F.when(n == 0, F.array().cast("array<bigint>")).otherwise(let(heads, place))
-
-    return let(F.transform(a, lambda x: x.cast("long")), body)
+from locusgrid.functions.expr import let, sums_before
 
 
 def places(text: Column, pattern: str) -> Column:
@@ -43,7 +19,7 @@ def places(text: Column, pattern: str) -> Column:
     def body(parts: Column, hits: Column) -> Column:
         gaps = F.zip_with(F.slice(parts, 1, F.size(hits)), hits, lambda p, h: F.length(p) + F.length(h))
         make = lambda before: F.transform(hits, lambda h, i: F.struct((before[i] + F.length(parts[i])).cast("long").alias("start"), (before[i] + F.length(parts[i]) + F.length(h)).cast("long").alias("end"), h.alias("hit")))
-        return let(running(gaps), make)
+        return let(sums_before(gaps), make)
 
     found = let(F.split(text, pattern, -1), lambda parts: let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda hits: body(parts, hits)))
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast(kind)).cast(kind)

@@ -8,8 +8,11 @@ record, so that Spark's own writer makes the files, wherever the shared folder l
 Reading parses whole files by Content-Length, gathers the segments of an origin wherever they are, orders them by number, checks that
 they are complete and of the stated length, removes the chunk framing and digests the payload.
 
-Defined cases: a null page is empty; payloads under the least size are never revisits; ids may be null (smallest id ignores them) and
-rows may repeat; other columns are ignored.
+A row of text is a record of at most SEGMENT bytes and its head, and a file has `per_file` of them, so files are bounded in bytes (some 130 MB
+before compression) whatever the size of pages. A revisit takes its length from the response whose payload has its digest.
+
+Defined cases: a null page is empty; payloads under the least size are never revisits; ids may be null (smallest id ignores them); rows that
+repeat keep a record each, those of the smallest id all as responses; an empty table gives empty archives and results; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -259,6 +259,34 @@ def test_warc(spark, tmp_path):
         assert got[i] == (len(b), hashlib.sha256(b).hexdigest(), "revisit" if i == 3 else "response", 1 if i == 3 else None)
 
 
+def test_warc_repeats_and_empty(spark, tmp_path):
+    rows = [(1, "u", "z" * 300, "d", 1), (1, "u", "z" * 300, "d", 1), (2, "u", "z" * 300, "d", 1), (None, None, None, "d", 1)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, digest string, refers int")
+    warc.write(df, str(tmp_path / "w"))
+    got = sorted((str(r.page_id), r.record_type, r.payload_bytes) for r in warc.read(spark, str(tmp_path / "w")).collect())
+    assert got == [("1", "response", 300), ("1", "response", 300), ("2", "revisit", 300), ("None", "response", 0)]
+    warc.write(df.where("false"), str(tmp_path / "e"))
+    assert warc.read(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_empty_tables(spark):
+    assert secrets.report(empty(spark)).count() == licenses.scan(empty(spark)).count() == pii.redact(empty(spark)).count() == 0
+    labels = spark.createDataFrame([(1, 1, 1)], "doc_id long, quality int, toxic int")
+    assert toxicity.score(empty(spark), toxicity.train(empty(spark), labels)).count() == 0
+
+
+def test_repeated_rows_keep_a_row_each(spark):
+    """Rows equal in all columns: the same result for each, counted once where distinct things are counted."""
+    x = "token=abcdefghij0 under the MIT license, mail a@b.co " + prose(80)
+    df = spark.createDataFrame([(1, x, "s")] * 3 + [(2, prose(30), "s")], "doc_id long, text string, row string").repartition(2)
+    for out in (pii.report(df), secrets.report(df), licenses.scan(df), suffixes.remove_repeats(df), ngram_join.jaccard_join(df)):
+        rows = [tuple(r) for r in out.where("doc_id = 1").collect()]
+        assert len(rows) == 3 and len(set(rows)) == 1
+    assert {(r.doc_id, r.n_removed > 0) for r in suffixes.remove_repeats(df).collect()} == {(1, True), (2, False)}
+    pieces = packing.pack(df).collect()
+    assert len(pieces) == 4 and len({(r.sequence_id, r.offset) for r in pieces}) == 4
+
+
 def test_toxicity(spark):
     bad = ["idiot", "moron", "scum"]
     rows = [prose(40) + (f" {bad[i % 3]} {bad[(i + 1) % 3]}" if i % 4 == 0 else "") for i in range(400)] + [None, ""]
