@@ -6,7 +6,7 @@ Documents over the limit are cut into full pieces and a rest. Packing is bulk-sy
    counts of earlier partitions for that length (a table of partitions + lengths rows at most).
 2. The state is a Spark table of runs: of pieces of one length with successive ranks, and of sequences of one gap with successive numbers.
    As lengths are whole numbers up to the limit, it stays that small however large the corpus.
-3. A superstep range-sorts lengths and gaps together and sweeps each range from large to small: a piece takes its successor, the smallest
+3. A superstep sorts lengths and gaps together, in ranges if there are more than RANGE_ROWS runs, and sweeps each range from large to small: a piece takes its successor, the smallest
    gap before it that is still free; where several want one, the rank decides. What a range leaves over is swept once more together; as
    in the matching of brackets, matches inside a range are those of the whole. Where pieces outnumber all gaps that are left, a gap takes
    several. Then gaps shrink by what was placed. Where open gaps cannot hold the pieces left, the longest of these open as many new
@@ -223,10 +223,11 @@ def ranked(pieces: DataFrame) -> DataFrame:
     return parts.mapInArrow(run, f"{kinds}, part int, local long")
 
 
-GAP, PIECES, PLACED, NEXT = range(4)  # kinds of rows; NEXT: the number that the next new sequence gets, and how many have a gap
+GAP, PIECES, PLACED, NEXT = range(4)  # kinds of rows; NEXT: the number that the next new sequence gets, how many have a gap, and the runs
 STATE = "kind int, size long, first long, n long, per long, gap long, seq long"
 #: A superstep that places less than a tenth of what is left opens an eighth of the sequences that the rest would fill.
 SLOW, STEP = 10, 8
+RANGE_ROWS = 20_000  # runs that one task sweeps
 
 
 def matched(rows: list[tuple[int, ...]], supply: int) -> tuple[list[tuple[int, ...]], list[list[int]], list[list[int]]]:
@@ -293,7 +294,7 @@ def settled(limit: int, supply: int):
                 new, fresh = new - t, fresh + t
                 x[1], x[2] = x[1] + t, x[2] - t
         out = [(PLACED, *p) for p in placed] + [(PIECES, *x, 0, 0, 0) for x in left if x[2]] + [(GAP, *x, 0, 0, 0) for x in gaps]
-        yield state_rows([*out, (NEXT, 0, fresh, sum(x[2] for x in gaps), 0, 0, 0)])
+        yield state_rows([*out, (NEXT, 0, fresh, sum(x[2] for x in gaps), len(gaps) + sum(x[2] > 0 for x in left), 0, 0)])
 
     return run
 
@@ -303,15 +304,18 @@ def plan(counts: dict[int, int], spark, limit: int = LIMIT) -> list[tuple[int, .
     state = spark.createDataFrame([(PIECES, k, 0, n, 0, 0, 0) for k, n in counts.items()] + [(NEXT, 0, 0, 0, 0, 0, 0)], STATE)
     order = [F.col("size").desc(), "kind", "first"]
     rows: list[tuple[int, ...]] = []
-    supply = 0
+    supply, runs = 0, len(counts)
     while True:
-        ranges = state.repartitionByRange(F.col("size").desc()).sortWithinPartitions(*order).mapInArrow(swept(supply), STATE)
-        step = C.stage(ranges.coalesce(1).sortWithinPartitions(*order).mapInArrow(settled(limit, supply), STATE), "pack-step")
+        if runs > RANGE_ROWS:
+            cut = state.repartitionByRange(F.col("size").desc()).sortWithinPartitions(*order).mapInArrow(swept(supply), STATE)
+        else:
+            cut = state
+        step = C.stage(cut.coalesce(1).sortWithinPartitions(*order).mapInArrow(settled(limit, supply), STATE), "pack-step")
         C.unstage(state)
         # what a superstep placed, by lengths and gaps, and the number of gaps
         got = step.where(F.col("kind").isin(PLACED, NEXT)).select("kind", "size", "first", "n", "per", "gap", "seq").collect()
         rows += [tuple(r)[1:] for r in got if r[0] == PLACED]
-        supply = sum(r[3] for r in got if r[0] == NEXT)
+        supply, runs = (sum(r[k] for r in got if r[0] == NEXT) for k in (3, 4))
         if sum(r[2] * r[3] for r in rows) == sum(counts.values()):
             C.unstage(step)
             return sorted(rows)

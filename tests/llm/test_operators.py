@@ -116,8 +116,11 @@ def test_packing(spark):
     assert packing.pack(empty(spark)).count() == 0
 
 
-def test_plan(spark):
+@pytest.mark.parametrize("ranges", [False, True])
+def test_plan(spark, monkeypatch, ranges):
     """Places are free and whole; no more sequences than sequential best-fit decreasing needs, but for a twentieth."""
+    if ranges:
+        monkeypatch.setattr(packing, "RANGE_ROWS", 5)
     rng = np.random.default_rng(1)
     for lengths, limit in ((rng.integers(1, 60, 500).tolist(), 64), ([10] * 5000, 4096), ([4096] * 3 + [1] * 9, 4096), (np.minimum(rng.lognormal(5, 1.5, 3000).astype(int) + 1, 4096).tolist(), 4096)):
         rows = packing.plan(dict(Counter(lengths)), spark, limit)
