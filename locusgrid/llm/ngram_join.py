@@ -316,7 +316,7 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for each row of docs (doc_id, text, ...)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
     rows, classes = linked(docs, n, percent)
-    least = classes.groupBy("comp").agg(F.min("rep").alias("component_id"))
+    least = classes.groupBy("comp").agg(F.min("rep").alias("component_id")).hint("rebalance")  # so that Spark can split a large component
     out = rows.join(classes.join(least, "comp").select("sig", "component_id"), "sig", "left")
     own = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.cast("long").alias("component_id"))
@@ -332,10 +332,11 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     rows, classes = linked(hashed.select(doc_id.alias("doc_id"), text.alias("text"), F.col(key).alias("key")), n, percent)
     rank = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "key")
     named = rows.where("n > 0").groupBy("sig", "doc_id", "key").agg(F.count("*").alias("k")).join(classes, "sig")
-    best = named.groupBy("comp").agg(F.min(rank).alias("best"))
+    named = C.stage(named, "ngram-rows-named")
+    best = named.groupBy("comp").agg(F.min(rank).alias("best")).hint("rebalance")
     fate = named.join(best, "comp").select(F.col("key").alias(key), (F.col("key") == F.col("best.key")).alias("stays"), "k").where("NOT stays OR k > 1")
     fate = C.stage(fate.groupBy(key).agg(F.max("stays").alias("stays")), "ngram-fate")
-    C.unstage(rows, classes)
+    C.unstage(rows, classes, named)
     bits = docs.sparkSession.sparkContext.broadcast(C.bloom(fate, key, 24))
     marked = C.flagged(hashed, key, bits, mark)
     maybe = marked.where(F.col(mark)).drop(mark)
