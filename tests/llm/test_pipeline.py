@@ -88,10 +88,10 @@ def test_decontamination_stage(spark):
 
 
 def test_toxicity_and_packing_stages(spark):
-    rows = [(i, "fine words here" if i % 2 else "you awful scum") for i in range(60)] + [(None, "awful scum"), (None, None), (3, "fine words here"), (3, "fine words here")]
-    labels = spark.createDataFrame([(i, 1, 1 - i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    rows = [(i, "fine words here" if i % 4 else "you awful scum") for i in range(200)] + [(None, "awful scum"), (None, None), (3, "fine words here"), (3, "fine words here")]
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(200)], "doc_id long, quality int, toxic int")
     out = toxicity.keep_clean(awkward(spark, rows), labels)
-    assert kept(out) == sorted([*[(str(i), "fine words here") for i in range(1, 60, 2)], ("None", "None"), ("3", "fine words here"), ("3", "fine words here")])
+    assert kept(out) == sorted([*[(str(i), "fine words here") for i in range(200) if i % 4], ("None", "None"), ("3", "fine words here"), ("3", "fine words here")])
     assert toxicity.keep_clean(awkward(spark, rows).where("false"), labels).count() == 0
     pieces = packing.pack(awkward(spark, rows[-4:])).collect()
     assert len(pieces) == 4 and sorted(r.offset for r in pieces)[0] == 0 and {r.piece for r in pieces} == {0}
