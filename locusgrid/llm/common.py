@@ -41,6 +41,19 @@ def small_batches(spark: SparkSession) -> None:
 _live: dict[str, SparkSession] = {}  # staged tables that are still there
 
 
+@contextlib.contextmanager
+def shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """Within it, an action's shuffle files go as soon as it ends. Otherwise they stay until the driver happens to collect its garbage, and
+    those of many steps add up on the executors' disks."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def stage(df: DataFrame, name: str, *partition_by: str, compact: bool = False) -> DataFrame:
     """Writes a table into the shared folder and reads it again; `unstage` deletes it, at the latest when the driver ends. compact: rows
     move once more into partitions of the advisory size, so that a table that may be small or large is as few files as it should be."""
@@ -50,7 +63,8 @@ def stage(df: DataFrame, name: str, *partition_by: str, compact: bool = False) -
     path = f"{shared_dir(spark)}/stage/{name}-{uuid.uuid4().hex[:12]}"
     _live[path] = spark
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(path)
+    with shuffles_deleted(spark):
+        writer.parquet(path)
     out = spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
     out._staged = path
     return out

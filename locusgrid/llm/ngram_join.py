@@ -7,11 +7,12 @@ Documents with equal n-gram sets are one class, named by a fingerprint of the se
    keeps the prefix that any partner must share an n-gram with.
 3. A prefix n-gram held by two classes or more is a bucket. Each class is first compared with its bucket's smallest and largest class,
    which is linear in the bucket; the components of these links follow.
-4. Then every pair of a bucket that lies in different components and passes the filters (length, position, and the suffix filter's bound
-   from parity bits of the whole sets) is compared, once. A bucket that is one
-   component needs nothing more, so a large group of near copies never makes all its pairs, and no link between components is lost.
+4. Then every pair of a bucket's other classes that lies in different components and passes the filters (length, position, and the suffix
+   filter's bound from parity bits of the whole sets) is compared, once. A bucket of up to three classes, or of one component, needs
+   nothing more, so a large group of near copies never makes all its pairs, and no link between components is lost.
 
-Sets of the compared classes come from a third pass over just those texts. n-grams are 64-bit hashes throughout.
+Texts of the compared classes come from a third pass and travel compressed: a set takes eight bytes a word, its packed text two or three.
+n-grams are 64-bit hashes throughout.
 
 Defined cases: a text without words or a null text has an empty set, links with nothing; fewer words than n make one n-gram of the
 whole sequence; a null id gets a row with a null component, though links may pass through its text; repeated ids and rows keep a row each
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 from locusgrid.llm import common as C
 
 HEADS = 24  # first open n-grams of a class by which repeated pairs are told
+HELD = 16 << 20  # bytes of sets that a task of `verify` keeps for its next pairs
 SKETCH = 1 << 20  # counters in the sketch of n-gram counts, whatever the corpus
 
 
@@ -196,8 +198,20 @@ def possible(n1, p1, n2, p2, percent: int):
     return length & (p1 <= n1 - want) & (p2 <= n2 - want)
 
 
-def sets(docs: DataFrame, wanted, n: int) -> DataFrame:
-    """(sig, blob) of the documents whose key may be wanted: the sorted set as 64-bit values."""
+def packed(text: bytes) -> bytes:
+    """The length of a text and the text compressed."""
+    return len(text).to_bytes(8, "little") + pa.compress(text, "zstd", asbytes=True)
+
+
+def unpacked_set(blob: pa.Buffer, n: int) -> np.ndarray:
+    """The sorted n-gram set of a packed text."""
+    size = int.from_bytes(blob[:8].to_pybytes(), "little")
+    data = np.frombuffer(pa.decompress(blob[8:], size, "zstd"), np.uint8)
+    return shingles(np.array([0, size]), data, n)[0]
+
+
+def texts(docs: DataFrame, wanted, n: int) -> DataFrame:
+    """(sig, blob) of the documents whose key may be wanted: the class and the packed text."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch | None:
         keep = C.in_bloom(wanted.value, b.column(2).to_numpy())
@@ -208,7 +222,7 @@ def sets(docs: DataFrame, wanted, n: int) -> DataFrame:
             for i, s in enumerate(fingerprint(values, so).tolist()):
                 if s not in seen:
                     seen.add(s)
-                    rows.append((s, values[so[i] : so[i + 1]].tobytes()))
+                    rows.append((s, packed(data[offs[i] : offs[i + 1]].tobytes())))
         if not rows:
             return None
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["sig", "blob"])
@@ -234,23 +248,40 @@ def suffix_bound(x: np.ndarray, y: np.ndarray) -> int:
 
 def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) of a staged table of classes whose sets are similar enough, as a table. Each pair is compared once, with sets of
-    just its texts."""
+    just its texts, of which a task holds the last HELD bytes."""
     named = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(classes, "sig").select("key")
     wanted = docs.sparkSession.sparkContext.broadcast(C.bloom(named, "key", 24))
-    store = C.stage(sets(docs, wanted, n), "ngram-sets")
+    store = C.stage(texts(docs, wanted, n), "ngram-texts")
     wanted.destroy()
     left = pairs.join(store.select(F.col("sig").alias("a"), F.col("blob").alias("x")), "a")
     both = left.join(store.select(F.col("sig").alias("b"), F.col("blob").alias("y")), "b").select("a", "b", "x", "y")
 
-    def run(t: pa.RecordBatch) -> pa.RecordBatch:
-        good = []
-        for p, q in zip(t.column("x"), t.column("y"), strict=True):
-            x, y = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
-            want = pair_needed(len(x), len(y), percent)
-            good.append(min(len(x), len(y)) >= want and suffix_bound(x, y) >= want and overlap(x, y) >= want)
-        return t.select([0, 1]).filter(pa.array(good, pa.bool_()))
-
-    out = C.stage(both.mapInArrow(C.by_batch(run), "a long, b long"), "ngram-links")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        room = HELD
+
+        def members(sig: int, blob: pa.BinaryScalar) -> np.ndarray:
+            nonlocal room
+            if sig not in held:
+                v = unpacked_set(blob.as_buffer(), n)
+                if v.nbytes > room:
+                    held.clear()
+                    room = HELD
+                held[sig] = v
+                room -= v.nbytes
+            return held[sig]
+
+        for t in batches:
+            good = []
+            for a, b, p, q in zip(t.column("a").to_pylist(), t.column("b").to_pylist(), t.column("x"), t.column("y"), strict=True):
+                x, y = members(a, p), members(b, q)
+                want = pair_needed(len(x), len(y), percent)
+                good.append(min(len(x), len(y)) >= want and suffix_bound(x, y) >= want and overlap(x, y) >= want)
+            yield t.select([0, 1]).filter(pa.array(good, pa.bool_()))
+        held.clear()
+        C.trim()
+
+    out = C.stage(both.mapInArrow(run, "a long, b long"), "ngram-links")
     C.unstage(store)
     return out
 
@@ -275,23 +306,28 @@ def linked(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]
     C.unstage(prefix)
 
     me = F.struct("sig", "n", "pos")
-    extremes = held.groupBy("h").agg(F.min(me).alias("lo"), F.max(me).alias("hi")).where("lo.sig <> hi.sig")
-    star = held.join(extremes, "h").select("sig", "n", "pos", F.explode(F.array("lo", "hi")).alias("to")).where(F.col("sig") != F.col("to.sig"))
-    star = star.where(possible(F.col("n"), F.col("pos"), F.col("to.n"), F.col("to.pos"), percent))
-    star = star.select(F.least("sig", "to.sig").alias("a"), F.greatest("sig", "to.sig").alias("b")).distinct()
+    extremes = held.groupBy("h").agg(F.min(me).alias("lo"), F.max(me).alias("hi"), F.count("*").alias("k")).where("lo.sig <> hi.sig")
+    partners = F.filter(F.array("lo", "hi"), lambda x: (x["sig"] != F.col("sig")) & possible(F.col("n"), F.col("pos"), x["n"], x["pos"], percent))
+    # all pairs of a bucket's smallest and largest class are in the star, so its other classes alone go on, if there may be two
+    inner = (F.col("k") > 3) & (F.col("sig") != F.col("lo.sig")) & (F.col("sig") != F.col("hi.sig"))
+    met = held.join(extremes, "h").select("h", "sig", "n", "pos", F.transform(partners, lambda x: x["sig"]).alias("to"), inner.alias("inner"))
+    met = C.stage(met.where("inner OR size(to) > 0"), "ngram-met")
+    C.unstage(held)
+    star = met.select("sig", F.explode("to").alias("to")).select(F.least("sig", "to").alias("a"), F.greatest("sig", "to").alias("b")).distinct()
     sided = lambda k: shape.select([F.col(c).alias(k if c == "sig" else f"{k}_{c}") for c in shape.columns])
     star = C.stage(star.join(sided("a"), "a").join(sided("b"), "b").where(near("a_", "b_", percent)).select("a", "b"), "ngram-star")
     links = verify(star, docs, classes, n, percent)
     comp = C.components(links)
 
     # buckets that still hold two components: members outside the bucket's largest one meet all members of others
-    named = held.distinct().join(comp.withColumnRenamed("node", "sig"), "sig", "left").withColumn("c", F.coalesce("component", "sig")).drop("component")
+    named = met.where("inner").select("h", "sig", "n", "pos").distinct().join(comp.withColumnRenamed("node", "sig"), "sig", "left").withColumn("c", F.coalesce("component", "sig")).drop("component")
     named = C.stage(named, "ngram-named")
+    C.unstage(met, comp)
     split = named.groupBy("h", "c").agg(F.count("*").alias("k")).groupBy("h").agg(F.max_by("c", F.struct("k", "c")).alias("major"), F.count("*").alias("parts")).where("parts > 1").select("h", "major")
     # a pair is made at its first common n-gram: each row has the earlier ones among its class's first HEADS, and a pair whose lists meet
     # was made before. Pairs that first meet beyond them may come more than once and are made distinct below
     still = C.stage(named.join(split, "h"), "ngram-still")
-    C.unstage(held, comp, named)
+    C.unstage(named)
     heads = still.groupBy("sig").agg(F.slice(F.array_sort(F.collect_set(F.struct("pos", "h"))), 1, HEADS).alias("heads"))
     before = F.transform(F.filter("heads", lambda x: x["pos"] < F.col("pos")), lambda x: x["h"])
     open_ = C.stage(still.join(heads, "sig").withColumn("before", before).drop("heads").join(shape.drop("n"), "sig"), "ngram-open")

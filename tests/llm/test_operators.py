@@ -2,13 +2,14 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from locusgrid.llm import decontaminate, embeddings, licenses, ngram_join, packing, pii, secrets, suffixes, toxicity, warc
+from locusgrid.llm import common, decontaminate, embeddings, licenses, ngram_join, packing, pii, secrets, suffixes, toxicity, warc
 
 WORDS = [f"w{i}q" for i in range(400)]
 RNG = np.random.default_rng(5)
@@ -54,6 +55,63 @@ def test_jaccard(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [i for i in range(len(rows)) if comp[i] == i] and kept.columns[2:] == ["sig", "n", "row"]
 
 
+def edits(words, k):
+    """words with k of them replaced, far apart."""
+    out = list(words)
+    for i in range(k):
+        out[7 + 12 * i] = f"x{RNG.integers(1 << 30)}"
+    return " ".join(out)
+
+
+def test_jaccard_of_groups_about_the_threshold(spark):
+    rows = []
+    for size in (2, 3, 4, 5, 9, 24):
+        base = prose(150).split()
+        rows += [edits(base, k % 5) for k in range(size)]
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_join(table(spark, rows)).collect()}
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, rows)]
+    comp = list(range(len(rows)))
+    links = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j and 100 * len(a & b) >= 80 * len(a | b)]
+    for _ in rows:
+        for i, j in links:
+            comp[i] = comp[j] = min(comp[i], comp[j])
+    assert got == dict(enumerate(comp)) and 6 < len(set(comp)) < len(rows)
+
+
+def test_jaccard_moves_little(spark, monkeypatch):
+    base = prose(600).split()
+    rows = [" ".join(base), edits(base, 2), edits(base, 45)]
+    moved, stage = {}, common.stage
+
+    def counted(df, name, *a, **k):
+        out = stage(df, name, *a, **k)
+        moved[name] = out.count() if "blob" not in out.columns else out.selectExpr("sum(length(blob))").first()[0] or 0
+        if tuple(out.columns) == ("sig", "blob"):
+            moved["compared"] = max(moved.get("compared", 0), moved[name])
+        return out
+
+    monkeypatch.setattr(common, "stage", counted)
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_join(table(spark, rows)).collect()}
+    assert got == {0: 0, 1: 0, 2: 2}
+    assert moved["ngram-named"] == 0  # the star compares all pairs of three classes
+    assert 0 < moved["compared"] < 3 * 8 * 596 / 2  # sets would take eight bytes an n-gram
+
+
+def test_staged_tables_leave_no_shuffle_files(spark):
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(2)
+    jvm = spark.sparkContext._jvm
+    files = lambda: set(re.findall(r"shuffle_\d+", jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")))
+    there, key = files(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    out = common.stage(spark.range(10_000).selectExpr("id % 100 AS k").groupBy("k").count(), "shuffled")
+    for _ in range(20):
+        if left := files() - there:
+            time.sleep(0.2)
+    assert out.count() == 100 and not left and spark.conf.get(key, None) == before
+    common.unstage(out)
+
+
 def test_suffixes(spark):
     rows = texts()
     got = {r.doc_id: tuple(r)[1:] for r in suffixes.remove_repeats(table(spark, rows)).collect()}
