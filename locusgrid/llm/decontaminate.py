@@ -29,23 +29,31 @@ from locusgrid.llm.spans import let
 
 WINDOW, LEAST, SHORT = 8, 5, 4
 BROADCAST_ROWS = 200_000  # 24 bytes each
+BLOCK = 512  # places of a text that are one row while windows are hashed
 #: Units that may follow a number.
 UNITS = "kg|g|mg|km|m|cm|mm|mi|miles?|feet|ft|inch(?:es)?|l|ml|litres?|liters?|hours?|minutes?|seconds?|days?|weeks?|months?|years?|dollars?|cents?|euros?|percent|pounds?|lbs?|kmh|mph|degrees?"
 NUMBER, NAME, UNIT = "\u0001", "\u0002", "\u0003"  # marks of a slot's type, before its value
 INITIAL = "\u0004"  # in items, a capitalised word at the start of a sentence: a name or not
+#: Separators of words but for point and comma; the letters of most texts are told from them by one test.
+PLAIN = r"[^a-z\x{C0}-\x{167F}]"
+BREAK = r"\x00\x05-\x2B\x2D\x2F\x3A-\x60\x7B-\x7F\x{85}\x{A0}\x{1680}\x{3000}\x{2000}-\x{206F}"
 
 
 def marked(text: Column, item: bool = False) -> Column:
-    """Words of a text, slots with their mark and value. item: INITIAL marks the capitalised words that start a sentence."""
-    plain = F.translate(text, NUMBER + NAME + UNIT + INITIAL, "    ")
+    """Words of a text, slots with their mark and value. item: INITIAL marks the capitalised words that start a sentence.
+
+    Patterns start with a test of one character, so that most places cost just that, and repeat groups possessively: Java's other
+    repeats of groups take a frame of the stack each."""
+    plain = F.regexp_replace(text, f"[{NUMBER}-{INITIAL}]", " ")
     if item:
         plain = F.regexp_replace(plain, r"((?:^|[.!?:])[^\p{L}\p{N}]*)(\p{Lu})", f"$1{INITIAL}$2")
-    named = F.regexp_replace(plain, f"(?<![\\p{{L}}\\p{{M}}\\p{{N}}{INITIAL}])(\\p{{Lu}})", NAME + "$1")
-    lower = F.lower(named)
-    numbered = F.when(lower.rlike("[0-9]"), F.regexp_replace(F.regexp_replace(lower, r"(?<![\p{L}0-9])([0-9]+(?:[.,][0-9]+)*)", f" {NUMBER}$1 "), f"({NUMBER}[0-9.,]+ )[\\s\u0085\u00a0\u3000]*[{NAME}{INITIAL}]?({UNITS})(?![\\p{{L}}0-9])", f"$1{UNIT}$2")).otherwise(lower)
+    named = F.regexp_replace(plain, f"(?=\\p{{Lu}})(?<![\\p{{L}}\\p{{M}}\\p{{N}}{INITIAL}])(\\p{{Lu}})", NAME + "$1")
     # a number keeps the point and comma inside it: words end at white space and other punctuation, or at these without a digit next
-    words = F.split(numbered, r"(?:[\x00\x05-\x2B\x2D\x2F\x3A-\x60\x7B-\x7F\x{85}\x{A0}\x{1680}\x{3000}\x{2000}-\x{206F}]|[.,](?![0-9])|(?<![0-9])[.,])+")
-    return F.filter(words, lambda w: ~w.isin("", NUMBER, NAME, UNIT, INITIAL))
+    apart = lambda numbered: F.split(numbered, f"(?:[{PLAIN}&&[{BREAK}]]|[.,](?:(?![0-9])|(?<![0-9][.,])))++")
+    numbered = lambda lower: F.regexp_replace(F.regexp_replace(lower, r"(?=[0-9])(?<![\p{L}0-9])([0-9]+(?:[.,][0-9]+)*+)", f" {NUMBER}$1 "), f"({NUMBER}[0-9.,]+ )[\\s\u0085\u00a0\u3000]*[{NAME}{INITIAL}]?({UNITS})(?![\\p{{L}}0-9])", f"$1{UNIT}$2")
+    words = let(F.lower(named), lambda lower: F.when(lower.rlike("[0-9]"), apart(numbered(lower))).otherwise(F.split(lower, f"[{PLAIN}&&[{BREAK}.,]]+")))
+    # no word is empty or a mark alone; all that starts without a mark starts at 0 or beyond
+    return F.filter(words, lambda w: (w >= "0") | (F.octet_length(w) > 1))
 
 
 def first(w: Column) -> Column:
@@ -60,7 +68,7 @@ def bare(w: Column) -> Column:
 def canonical(words: Column, names: str = NAME + INITIAL) -> Column:
     """Each word's hash; numbers, units and the given marks of names by their type alone."""
     typed = lambda w: F.when(first(w).isin(NUMBER, UNIT), first(w)).when(first(w).isin(*names), F.lit(NAME)) if names else F.when(first(w).isin(NUMBER, UNIT), first(w))
-    return F.transform(words, lambda w: F.xxhash64(typed(w).otherwise(bare(w))))
+    return F.transform(words, lambda w: F.when(w >= "0", F.xxhash64(w)).otherwise(F.xxhash64(typed(w).otherwise(bare(w)))))
 
 
 def with_first(hashes: Column, h: Column) -> Column:
@@ -72,23 +80,15 @@ def plain_first(words: Column) -> Column:
     return with_first(canonical(words), canonical(F.slice(words, 1, 1), "")[0])
 
 
-def windows(hashes: Column, n: int, heads: Column | None = None) -> Column:
-    """Hashes of all runs of n successive elements, built by doubling; empty if there are fewer. heads: stand for the first of each run."""
-
-    def join(a: Column, b: Column, step: int) -> Column:
-        rest = lambda x, k: F.slice(x, k, F.greatest(F.size(x) - step, F.lit(0)))
-        return F.zip_with(rest(a, 1), rest(b, step + 1), lambda x, y: F.xxhash64(x, y))
+def window_hash(hashes: Column, i: Column, n: int, heads: Column | None = None) -> Column:
+    """The hash of the n successive elements from place i on, and of n. heads: stand for the first of each run."""
+    return F.xxhash64(F.lit(n), F.get(hashes if heads is None else heads, i), *[F.get(hashes, i + k) for k in range(1, n)])
 
-    def grow(have: Column, size: int) -> Column:
-        if size == n:
-            return have["f"] if heads is not None else have
-        step = min(size, n - size)
-        if heads is None:
-            return let(have, lambda h: grow(join(h, h, step), size + step))
-        return let(have, lambda h: grow(F.struct(join(h["f"], h["a"], step).alias("f"), join(h["a"], h["a"], step).alias("a")), size + step))
 
-    start = hashes if heads is None else F.struct(heads.alias("f"), hashes.alias("a"))
-    return let(start, lambda h: F.when(F.size(h if heads is None else h["a"]) >= n, grow(h, 1)).otherwise(F.array().cast("array<bigint>")))
+def windows(hashes: Column, n: int) -> Column:
+    """Hashes of all runs of n successive elements; empty if there are fewer."""
+    run = lambda h: F.when(F.size(h) >= n, F.transform(F.sequence(F.lit(0), F.size(h) - n), lambda i: window_hash(h, i, n)))
+    return let(hashes, lambda h: F.coalesce(run(h), F.array().cast("array<bigint>")))
 
 
 def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
@@ -108,19 +108,25 @@ def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
 
 
 def document_windows(docs: DataFrame, sizes: list[int], window: int, short: int) -> DataFrame:
-    """(key, size, at, h) of all windows of the given sizes, with names as slots (in short windows not at the first word) and, where
-    that differs, as words; those of under `short` words only if they are the whole text. docs: (key, text)."""
-
-    def both(c: Column, n: int) -> Column:
-        put = lambda h, i: F.struct(F.lit(n).alias("size"), i.cast("int").alias("at"), h.alias("h"))
-        slots = windows(c["a"], n) if n == window else windows(c["a"], n, c["b"])
-        other = lambda x: F.filter(F.transform(x["b"], lambda h, i: F.when(h != x["a"][i], put(h, i))), lambda y: y.isNotNull())
-        all_ = let(F.struct(slots.alias("a"), windows(c["b"], n).alias("b")), lambda x: F.concat(F.transform(x["a"], put), other(x)))
-        return all_ if n >= short else F.when(F.size(c["a"]) == n, all_).otherwise(F.array().cast("array<struct<size:int,at:int,h:bigint>>"))
+    """(key, at, h) of all windows of the given sizes, with names as slots (in short windows not at the first word) and, where that
+    differs, as words; those of under `short` words only if they are the whole text. docs: (key, text).
 
+    Words are hashed in arrays, which Spark interprets; windows are rows of blocks of BLOCK places, which it compiles."""
+    part = lambda x, at: F.slice(x, at + 1, BLOCK + window - 1)
+    block = lambda c, at: F.struct(F.size(c["a"]).alias("size"), at.cast("int").alias("start"), part(c["a"], at).alias("a"), part(c["b"], at).alias("b"))
+    starts = lambda c: F.when(F.size(c["a"]) > 0, F.sequence(F.lit(0), F.size(c["a"]) - 1, F.lit(BLOCK)))
     c = let(marked(F.col("text")), lambda w: F.struct(canonical(w).alias("a"), canonical(w, "").alias("b")))
-    out = let(c, lambda x: F.concat(*[both(x, n) for n in sizes]))
-    return docs.select("key", F.explode(out).alias("x")).select("key", "x.size", "x.at", "x.h")
+    blocks = docs.select("key", F.explode(let(c, lambda x: F.transform(starts(x), lambda at: block(x, at)))).alias("x")).select("key", "x.*")
+    i, at = F.col("i"), F.col("start") + F.col("i")
+    places = blocks.select("*", F.explode(F.sequence(F.lit(0), F.least(F.lit(BLOCK), F.col("size") - F.col("start")) - 1)).alias("i"))
+    hashes = []
+    for n in sizes:
+        fits = (at + n <= F.col("size")) & (F.lit(n >= short) | (F.col("size") == n))
+        slots = window_hash(F.col("a"), i, n, None if n == window else F.col("b"))
+        hashes += [F.when(fits, slots), F.when(fits, window_hash(F.col("b"), i, n))]
+    out = places.select("key", at.alias("at"), *[h.alias(f"h{k}") for k, h in enumerate(hashes)])
+    differ = [F.when(F.col(f"h{k}") != F.col(f"h{k - 1}"), F.col(f"h{k}")) if k % 2 else F.col(f"h{k}") for k in range(len(hashes))]
+    return out.select("key", "at", F.explode(F.array(*differ)).alias("h")).where("h IS NOT NULL")
 
 
 def held(docs: DataFrame, benchmark: DataFrame, window: int, least: int, short: int) -> DataFrame:
@@ -131,11 +137,11 @@ def held(docs: DataFrame, benchmark: DataFrame, window: int, least: int, short:
     n, sizes = items.count(), sorted(r[0] for r in items.select("size").distinct().collect())  # `window` sizes at most
     if not n:
         sizes = [window]
-    keys = items.select("size", "h").distinct()
+    keys = items.select("h").distinct()
     small = n <= BROADCAST_ROWS
-    hits = document_windows(docs, sizes, window, short).join(F.broadcast(keys) if small else keys, ["size", "h"], "left_semi")
+    hits = document_windows(docs, sizes, window, short).join(F.broadcast(keys) if small else keys, "h", "left_semi")
     hits = C.stage(hits.distinct(), "bench-hits")  # equal texts have equal windows
-    pairs = hits.join(F.broadcast(items) if small else items, ["size", "h"])
+    pairs = hits.join(F.broadcast(items) if small else items, "h")
     per = pairs.groupBy("key", "item_id").agg(F.countDistinct(items["at"]).alias("n_windows"), F.max("n").alias("n")).where(F.col("n_windows") >= F.least(F.lit(least), F.col("n")))
     per = C.stage(per, "bench-pairs")
 

@@ -384,6 +384,35 @@ def test_decontamination_case_and_space(spark):
     assert all(got[i, 0][1] == 1 for i in range(6))
 
 
+def test_decontamination_long_runs(spark):
+    """Runs of separators and lists of numbers of any length; they overflowed the stack of the pattern matcher and stopped the executor."""
+    item = "seven old bridges cross the river near the mill and 3 boats pass below them every day"
+    rows = ["\n .," * 30000 + item + " " * 100000 + "end", "1,2" * 30000 + " " + item, "-.-" * 30000, "1.5 " * 30000]
+    bench = spark.createDataFrame([(0, item)], "item_id long, text string")
+    got = {r.doc_id: (r.verdict, r.share) for r in decontaminate.contaminated(table(spark, rows), bench).collect()}
+    assert got == {0: ("verbatim", 1), 1: ("verbatim", 1)}
+
+
+def test_decontamination_windows(spark):
+    """Windows of whole texts of several blocks are those of a plain pass over the text, and are hashed in compiled rows."""
+    d, size = decontaminate, decontaminate.BLOCK
+    low = [" ".join(WORDS[i] for i in RNG.integers(0, 400, n)) for n in (0, 1, 3, 4, 7, 8, size - 1, size, size + 1, size + 7, 2 * size + 3)]
+    named = [" ".join(w.upper() if i % 11 == 0 else w for i, w in enumerate(x.split())) for x in low]
+
+    def plain(rows, n, names):
+        df = spark.createDataFrame(list(enumerate(rows)), "key long, text string")
+        return {(r.key, at, h) for r in df.select("key", d.windows(d.canonical(d.marked(df.text), names), n).alias("hs")).collect() for at, h in enumerate(r.hs)}
+
+    def found(rows, sizes):
+        return d.document_windows(spark.createDataFrame(list(enumerate(rows)), "key long, text string"), sizes, 8, 4)
+
+    out = found(low, [3, 5, 8])
+    want = {x for x in plain(low, 3, "") if len(low[x[0]].split()) == 3} | plain(low, 5, "") | plain(low, 8, "")
+    assert sorted(map(tuple, out.collect())) == sorted(want)
+    assert sorted(map(tuple, found(named, [8]).collect())) == sorted(plain(named, 8, d.NAME) | plain(named, 8, ""))
+    assert "zip_with" not in (p := out._jdf.queryExecution().toString()) and "xxhash64(8, a#" in p
+
+
 def test_licenses_wrapped_and_spread(spark):
     import textwrap
 
