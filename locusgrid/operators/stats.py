@@ -67,18 +67,19 @@ def histogram(m: LocusFrame, lim: int = 100) -> DataFrame:
     return m.to_long().where(F.col("cov") <= lim).groupBy("sample", "cov").agg(F.count("*").alias("n"))
 
 
-def coverage_data(m: LocusFrame, kind: str = "hist", pheno: str | None = None, per_group: bool = False, lim: int = 100, size_lim: int = 1_000_000, seed: int = 0, **kw) -> DataFrame:
-    """Depths up to lim by sample, or by a group of samples: (variable, cov, n) counts, or a density (variable, x, density). More than
-    size_lim cells are cut to that many by a seeded sample of loci, as a plot would show them."""
+def coverage_data(m: LocusFrame, kind: str = "hist", pheno: str | None = None, per_group: bool = False, lim: int = 100, size_lim: int | None = None, seed: int = 0, **kw) -> DataFrame:
+    """Depths up to lim by sample, or by a group of samples: (variable, cov, n) counts, or a density (variable, x, density). All cells count,
+    as a group holds a row a depth; a caller's size_lim cuts more cells to that many by a seeded sample of loci."""
     if kind not in ("hist", "dens"):
         raise ValueError("kind must be hist or dens")
     if per_group and (pheno is None or any(pheno not in m.coldata.get(s, {}) for s in m.samples)):
         raise ValueError("per_group needs an annotation column that groups the samples")
     from locusgrid.operators.filters import cap_values, sample_rows
 
-    n_loci = size_lim // max(1, len(m.samples))
-    if m.df.limit(n_loci + 1).count() > n_loci:
-        m = sample_rows(m, n_loci, seed)
+    if size_lim is not None:
+        n_loci = size_lim // max(1, len(m.samples))
+        if m.df.limit(n_loci + 1).count() > n_loci:
+            m = sample_rows(m, n_loci, seed)
     long = cap_values(m.to_long(), "cov", lim)
     label = F.create_map(*[x for s in m.samples for x in (F.lit(s), F.lit(str(m.coldata[s][pheno])))])[F.col("sample")] if per_group else F.col("sample")
     long = long.select(label.alias("variable"), "cov")

@@ -214,6 +214,13 @@ def test_coverage_data(spark):
             stats.coverage_data(m, **bad)
 
 
+def test_coverage_data_counts_all_cells(spark):
+    cells = {"beta__A": F.lit(0.5), "beta__B": F.lit(0.5), "cov__A": (F.col("id") % 10).cast("int"), "cov__B": F.lit(7)}
+    df = spark.range(500_010).select(F.lit("chr1").alias("chr"), F.col("id").alias("start"), F.lit("*").alias("strand"), *[c.alias(n) for n, c in cells.items()])
+    got = {(r.variable, r.cov): r.n for r in stats.coverage_data(LocusFrame(df, ["A", "B"])).collect()}
+    assert got == {("A", k): 50_001 for k in range(10)} | {("B", 7): 500_010}
+
+
 @pytest.mark.parametrize("broadcast", [True, False, None])
 def test_broad_regions_make_few_rows(spark, broadcast):
     m = frame(spark, [("chr1", i * 1000, "*", 0.1, 0.1, 1, 1) for i in range(100)])
