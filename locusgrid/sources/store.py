@@ -56,7 +56,31 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def _file_system(spark: SparkSession, path: str):
+    """A path of any store that Spark can write, and its file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _file_system(spark, path)
+    return fs.exists(p)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p, fs = _file_system(spark, path)
+    fs.delete(p, True)
+
+
+def move(spark: SparkSession, old: str, new: str) -> None:
+    """The folder old, or an empty one if there is none, in place of whatever is at new."""
+    a, fs = _file_system(spark, old)
+    b, _ = _file_system(spark, new)
+    fs.delete(b, True)
+    if not (fs.rename(a, b) if fs.exists(a) else fs.mkdirs(b)):
+        raise OSError(f"could not move {old} to {new}")
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     with contextlib.suppress(Exception):  # the session may be gone, and its folder with it
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+        delete(spark, path)

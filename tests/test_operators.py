@@ -1,5 +1,6 @@
 """Edge cases on literal rows: what the fixture tables do not hold."""
 
+import gzip
 import math
 import struct
 import zlib
@@ -261,6 +262,30 @@ def test_bedgraph_roundtrip(spark, tmp_path):
     assert "." in spark.read.text(str(tmp_path / "multi")).where("value LIKE '%21%'").first()[0]
 
 
+def test_bedgraphs_compute_the_frame_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+    rows = [(f"chr{i % 3}", i, "*", i / 1000, None if i % 2 else 0.5, i, 5) for i in range(1000)]
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    m = frame(spark, rows)
+    # the shuffle is between the count and the sort, which samples its input
+    m = m.with_df(m.df.mapInArrow(count, m.df.schema).repartition(7))
+    paths = export.write_bedgraphs(m, str(tmp_path), zero_based=True)
+    assert seen.value == 1000
+    for path, name, k in zip(paths, "AB", (3, 4), strict=True):
+        lines = [x for f in sorted((tmp_path / f"{name}.bedGraph").glob("part-*")) for x in gzip.decompress(f.read_bytes()).decode().splitlines()]
+        assert path == f"{tmp_path}/{name}.bedGraph" and lines[0] == f'track type=bedGraph name="{name}"'
+        assert lines[1:] == [f"{r[0]}\t{r[1] - 1}\t{r[1]}\t{r[k]}" for r in sorted(rows) if r[k] is not None]
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["A.bedGraph", "B.bedGraph"]
+    assert export.write_bedgraphs(m, str(tmp_path)) == paths and seen.value == 1000  # existing ones stay
+    export.write_bedgraphs(m[F.lit(False)], str(tmp_path), force=True, header=False)
+    assert spark.read.text(paths).count() == 0
+
+
 def test_bigwig_layout(spark):
     out = {s: b"".join(parts) for s, parts in bigwig.write_bigwigs(frame(spark))}
     data = out["A"]
